@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import knn, leakage, normalize
+from . import knn, leakage, normalize, packing, readability
 
 
 def _captions(spark: SparkSession, d: str) -> DataFrame:
@@ -77,3 +77,33 @@ ORACLE["p3_found"] = (
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= 0.90)
 SELECT DISTINCT least(a, b) AS scene_id_a, greatest(a, b) AS scene_id_b FROM r WHERE r <= 10"""
 )
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(table(spark, d, "documents"), table(spark, d, "container_sizes"))
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each kind, how full they are, and how many there must be at least."""
+    fill = p6_containers(spark, d).groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"))
+    sizes = table(spark, d, "container_sizes").groupBy("container_kind").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
+    return (
+        fill.groupBy("container_kind")
+        .agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
+        .join(sizes, "container_kind")
+        .select("container_kind", "capacity", "containers", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), F.round(F.col("tokens") / F.col("containers") / F.col("capacity"), 4).alias("filled"))
+    )
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return readability.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).withColumn("grade", F.round("grade", 3))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by level, source and language of the text."""
+    levels = readability.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+    named = levels.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return named.groupBy("level", "source", "language").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("grade"), 2).alias("mean_grade"))
+
+
+QUERIES |= {f.__name__: f for f in (p6_containers, p6_summary, p8_levels, p8_profile)}
