@@ -10,6 +10,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WORD = r"[\p{L}\p{N}_]+"
 #: What a lexicon matches on: a word of its own, or a phrase anywhere.
@@ -71,23 +72,25 @@ def words_of(normalized: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """The distinct runs of three characters of the text, padded with two spaces before and one after."""
-    padded = F.concat(F.lit("  "), c, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+    chars = F.regexp_extract_all(F.concat(F.lit("  "), c, F.lit(" ")), F.lit("(?s)(.)"), F.lit(1))
+    n = F.size(chars) - 2
+    part = lambda i: F.slice(chars, i, n)
+    join = lambda a, b: F.concat(a, b)
+    return F.array_distinct(F.zip_with(F.zip_with(part(1), part(2), join), part(3), join))
 
 
 def lexicon_tags(c: Column, lexicon: Lexicon) -> Column:
     """The names of which some form occurs: single words as tokens, phrases anywhere in the text. Sorted."""
-    text = lower(c)
-    found = tokens(c)
+    names = [(name, form) for name, forms in lexicon.items() for form in forms]
+    single = F.array(*[F.struct(F.lit(f).alias("form"), F.lit(n).alias("name")) for n, f in names if " " not in f])
+    several = F.array(*[F.struct(F.lit(f).alias("form"), F.lit(n).alias("name")) for n, f in names if " " in f])
 
-    def occurs(forms: list[str]) -> Column:
-        each = [F.array_contains(found, f) if " " not in f else F.contains(text, F.lit(f)) for f in forms]
-        out = each[0]
-        for e in each[1:]:
-            out = out | e
-        return out
+    def tags(x: Column) -> Column:
+        hits = F.concat(F.filter(single, lambda p: F.array_contains(x["words"], p["form"])), F.filter(several, lambda p: F.contains(x["text"], p["form"])))
+        return F.array_sort(F.array_distinct(F.transform(hits, lambda p: p["name"])))
 
-    return F.array_sort(F.array_compact(F.array(*[F.when(occurs(forms), F.lit(name)) for name, forms in lexicon.items()])))
+    # a lambda over one element names the text and its words, which are then computed once
+    return F.element_at(F.transform(F.array(F.struct(lower(c).alias("text"), F.array_distinct(tokens(c)).alias("words"))), tags), 1)
 
 
 def contains_hint(c: Column, hints: list[str]) -> Column:
@@ -172,4 +175,4 @@ def with_fuzzy_score(pairs: DataFrame, query: str, text: str, out: str = "score"
             scores = [fuzzy_score(x or "", y or "") for x, y in zip(q, t)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, out])
 
-    return pairs.mapInArrow(run, pairs.schema.add(out, "double"))
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField(out, DoubleType())]))

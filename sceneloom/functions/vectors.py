@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def doubles(v: Column) -> Column:
@@ -62,7 +63,7 @@ def with_hash_vector(df: DataFrame, words: str, out: str = "vector", dims: int =
             vectors = [hash_vector(w or [], dims) for w in b.column(names.index(words)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "array<double>"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))]))
 
 
 def native_hash_vector(words: Column, dims: int = 256) -> Column:

@@ -48,11 +48,6 @@ def text_normalized(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(form).alias("form"), F.length(form).cast("long").alias("n"))
 
 
-@query(f"SELECT doc_id, len(list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))) AS n FROM (SELECT doc_id, '  ' || {C.normalize_sql('text')} || ' ' AS p FROM documents)")
-def text_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(T.trigrams(T.normalize(F.col("text")))).cast("long").alias("n"))
-
-
 @query(f"SELECT doc_id, {_tags_sql('text', T.COLORS)} AS colors, {_tags_sql('text', T.ACTIONS)} AS actions FROM documents")
 def text_tags(spark: SparkSession, d: str) -> DataFrame:
     tags = lambda x: F.array_join(T.lexicon_tags(F.col("text"), x), ",")

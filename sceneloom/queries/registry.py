@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems, ranking
+from . import media, problems, ranking
 
-_MODULES = [problems, ranking]
+_MODULES = [problems, ranking, media]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
