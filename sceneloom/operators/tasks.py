@@ -110,7 +110,7 @@ def label_answers(cand: DataFrame, most: int = 3) -> DataFrame:
 
 def written_answers(cand: DataFrame, most: int = 3) -> DataFrame:
     """The longest written texts of candidates (query_id, doc_id, ocr_texts)."""
-    each = cand.select("query_id", "doc_id", F.explode(F.array_distinct(F.transform("ocr_texts", F.trim))).alias("answer")).where("answer <> ''")
+    each = cand.select("query_id", "doc_id", F.explode(F.array_distinct(F.transform("ocr_texts", lambda t: F.trim(t)))).alias("answer")).where("answer <> ''")
     w = Window.partitionBy("query_id", "doc_id").orderBy(F.desc(F.length("answer")), "answer")
     ranked = each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     return ranked.select("query_id", "doc_id", "answer", F.when(F.col("r") == 1, 0.75).otherwise(0.45).alias("confidence"), F.lit("ocr_text").alias("answer_type"))
