@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint
 from .blocked import blocked_cumsum, blocked_last
 
 #: Width of a block of the time axis, in the unit of the times (milliseconds here): ten minutes.
@@ -53,7 +54,7 @@ def interval_gaps(iv: DataFrame, tolerance: int = 0, block: int = BLOCK) -> Data
 
 def interval_periods(iv: DataFrame, tolerance: int = 0, block: int = BLOCK) -> DataFrame:
     """(entity, period_start, period_end): the continuous periods."""
-    gaps = interval_gaps(iv, tolerance, block)
+    gaps = checkpoint(interval_gaps(iv, tolerance, block))  # few rows that four branches of the plan read
     whole = iv.groupBy("entity").agg(F.min("start_ms").alias("first"), F.max("end_ms").alias("last"))
 
     def ordinal(df: DataFrame, name: str) -> DataFrame:
@@ -75,7 +76,7 @@ def assign_periods(iv: DataFrame, periods: DataFrame, block: int = BLOCK) -> Dat
 
 def period_members(iv: DataFrame, member: str, tolerance: int = 0, block: int = BLOCK) -> DataFrame:
     """The periods with the number of intervals and whether at least two different members make them up."""
-    placed = assign_periods(iv, interval_periods(iv, tolerance, block), block)
+    placed = assign_periods(iv, checkpoint(interval_periods(iv, tolerance, block)), block)
     return placed.groupBy("entity", "period_start", "period_end").agg(
         F.count(F.lit(1)).alias("intervals"), (F.min(member) < F.max(member)).alias("several_members")
     )
