@@ -12,7 +12,7 @@ _MODULES = [problems, ranking, media]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.fuse_rrf(spark, sf_dir)
+    return ranking.QUERIES["fuse_rrf"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -155,3 +155,12 @@ def test_capped_sessions_as_a_stream(spark, tmp_path):
     running.awaitTermination()
     got = sorted((r.start.second, r.end.second, r.n) for r in spark.table("capped").collect())
     assert got[:3] == [(0, 2, 3), (10, 14, 5), (15, 16, 2)]
+
+
+def test_every_query_with_sql_is_registered():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    from sceneloom.queries import registry
+
+    assert "fuse_rrf" in registry.queries() and callable(registry.flagship)
