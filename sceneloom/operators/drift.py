@@ -292,17 +292,19 @@ def canonical_names(fields: DataFrame, sequence: DataFrame, scripts: DataFrame,
 
 
 def unified_table(lines: DataFrame, entity: str, columns: list[str]) -> DataFrame:
-    """One consistent table: (dataset_id, record, file_id, *columns as JSON text), one row per record, the latest file first.
+    """One consistent table: (file_id, dataset_id, record, *columns as JSON text, fields), one row per record, the latest file first.
 
     The scripts become a map of names per file, which is joined to the lines and applied as one projection.
-    Columns are canonical names; dots become underscores. Where a file carries two fields of one canonical
-    name (removed and added again under an alias), the first in alphabetical order is taken.
+    Columns are canonical names; dots become underscores. ``fields`` has every value that isn't null by its
+    canonical name, whether it is a column or not; the lines of a file without a place in a sequence keep their own
+    names. Where a file carries two fields of one canonical name (removed and added again under an alias), the first
+    in alphabetical order is taken.
     """
     parsed = parse_lines(lines.where(F.col("entity") == entity))
     fields, sequence = checkpoint(file_fields(parsed)), checkpoint(file_sequence(parsed))
     scripts = checkpoint(edit_scripts(parsed, fields, sequence))
     names = canonical_names(fields, sequence, scripts)
-    projection = names.where(F.col("canonical").isin(*columns)).groupBy("file_id", "canonical").agg(F.min("path").alias("path")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "path"))).alias("names"))
+    projection = names.groupBy("file_id", "canonical").agg(F.min("path").alias("path")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "path"))).alias("names"))
     record = F.try_variant_get("v", f"$.{RECORD_KEY[entity]}", "string")
     flat = F.map_from_entries(
         F.transform(
@@ -310,11 +312,15 @@ def unified_table(lines: DataFrame, entity: str, columns: list[str]) -> DataFram
             lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")),
         )
     )
+    own = F.map_from_arrays(F.map_keys("m"), F.map_keys("m"))
+    unreported = F.map_filter(own, lambda k, _: k.isin(*UNREPORTED))
+    named = F.transform_values(F.coalesce(F.map_concat("names", unreported), own), lambda _, path: F.nullif(F.try_element_at("m", path), F.lit("null")))
     wide = (
         parsed.select("file_id", "dataset_id", "exported_at", "line_no", record.alias("record"), flat.alias("m"))
         .where("record is not null")
         .join(projection, "file_id", "left")
-        .select("file_id", "dataset_id", "exported_at", "line_no", "record", *[F.nullif(F.try_element_at("m", F.try_element_at("names", F.lit(c))), F.lit("null")).alias(c.replace(".", "_")) for c in columns])
+        .select("file_id", "dataset_id", "exported_at", "line_no", "record", F.map_filter(named, lambda _, value: value.isNotNull()).alias("fields"))
     )
     latest = Window.partitionBy("dataset_id", "record").orderBy(F.desc("exported_at"), F.desc("file_id"), "line_no")
-    return wide.withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn", "exported_at", "line_no")
+    rows = wide.withColumn("rn", F.row_number().over(latest)).where("rn = 1")
+    return rows.select("file_id", "dataset_id", "record", *[F.try_element_at("fields", F.lit(c)).alias(c.replace(".", "_")) for c in columns], "fields")

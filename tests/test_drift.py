@@ -109,6 +109,18 @@ def test_rename_move_retype_and_broken_lines(spark):
     assert [(r.x, r.provenance_pipeline) for r in early] == [("1", '"p1"')] or [(r.x, r.provenance_pipeline) for r in early] == [("1.0", '"p1"')]
 
 
+def test_table_keeps_fields_without_a_column(spark):
+    files = [
+        [{"scene_id": "a", "x": 1, "provenance": {"model": "m1"}}, {"scene_id": "b", "x": 2}],
+        [{"scene_id": "a", "y": 1, "provenance": {"model": "m1"}, "quality_score": 0.5, "extensions": {"e": 1}}, {"scene_id": "b", "y": 2, "z": None}],
+    ]
+    got = {r.record: (r.x, r.fields) for r in drift.unified_table(_lines(spark, files), "scenes", ["x"]).collect()}
+    assert got == {
+        "a": ("1", {"scene_id": '"a"', "x": "1", "provenance.model": '"m1"', "quality_score": "0.5", "extensions": '{"e":1}'}),
+        "b": ("2", {"scene_id": '"b"', "x": "2"}),
+    }
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert drift.schema_changes(empty).count() == 0
