@@ -291,9 +291,12 @@ def canonical_names(fields: DataFrame, sequence: DataFrame, scripts: DataFrame,
     return runs.join(links.select("run", "path", "to_path"), ["run", "path"], "left").select("file_id", "path", F.coalesce("to_path", "path").alias("canonical"))
 
 
-def unified_table(lines: DataFrame, entity: str, columns: list[str]) -> DataFrame:
+def unified_table(lines: DataFrame, entity: str, columns: list[str], fold: bool = False) -> DataFrame:
     """One consistent table: (file_id, dataset_id, record, *columns as JSON text, fields), one row per record, the latest file first.
 
+    ``fold``: each field has its latest value that isn't null, from whichever file; file_id stays the record's latest
+    file. Else a record is what its line in the latest file says, and what that line doesn't have is null.
+
     The scripts become a map of names per file, which is joined to the lines and applied as one projection.
     Columns are canonical names; dots become underscores. ``fields`` has every value that isn't null by its
     canonical name, whether it is a column or not; the lines of a file without a place in a sequence keep their own
@@ -321,6 +324,11 @@ def unified_table(lines: DataFrame, entity: str, columns: list[str]) -> DataFram
         .join(projection, "file_id", "left")
         .select("file_id", "dataset_id", "exported_at", "line_no", "record", F.map_filter(named, lambda _, value: value.isNotNull()).alias("fields"))
     )
-    latest = Window.partitionBy("dataset_id", "record").orderBy(F.desc("exported_at"), F.desc("file_id"), "line_no")
-    rows = wide.withColumn("rn", F.row_number().over(latest)).where("rn = 1")
+    if fold:
+        each = wide.select("dataset_id", "record", "exported_at", "file_id", (-F.col("line_no")).alias("line"), F.explode("fields").alias("name", "value"))
+        last = each.groupBy("dataset_id", "record", "name").agg(F.max(F.struct("exported_at", "file_id", "line", "value")).alias("x"))
+        rows = last.groupBy("dataset_id", "record").agg(F.max(F.struct("x.exported_at", "x.file_id"))["file_id"].alias("file_id"), F.map_from_entries(F.collect_list(F.struct("name", "x.value"))).alias("fields"))
+    else:
+        latest = Window.partitionBy("dataset_id", "record").orderBy(F.desc("exported_at"), F.desc("file_id"), "line_no")
+        rows = wide.withColumn("rn", F.row_number().over(latest)).where("rn = 1")
     return rows.select("file_id", "dataset_id", "record", *[F.try_element_at("fields", F.lit(c)).alias(c.replace(".", "_")) for c in columns], "fields")

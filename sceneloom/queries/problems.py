@@ -19,13 +19,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_scenes_table(spark: SparkSession, d: str) -> DataFrame:
     columns = ["video_id", "scene_idx", "start_frame", "end_frame_exclusive", "start_sec", "end_sec", "transition_in", "boundary_confidence_in", "schema_version", "provenance.pipeline_version", "created_at"]
     columns += ["provenance.model_name", "provenance.model_revision", "provenance.device", "quality_score", "has_ocr", "has_asr", "frame_rate", "review_state", "scene_clip_path"]
-    return drift.unified_table(table(spark, d, "export_lines"), "scenes", columns)
+    return drift.unified_table(table(spark, d, "export_lines"), "scenes", columns, fold=True)
 
 
 def p1_manifest_table(spark: SparkSession, d: str) -> DataFrame:
     columns = ["schema_version", "pipeline_version", "video_count", "scene_count", "keyframe_count", "created_at"]
     columns += ["clip_count", "event_count", "notes", "signed", "release_channel", "frame_rate"]
-    return drift.unified_table(table(spark, d, "export_lines"), "dataset_manifest", columns)
+    return drift.unified_table(table(spark, d, "export_lines"), "dataset_manifest", columns, fold=True)
 
 
 def _index_intervals(spark: SparkSession, d: str) -> DataFrame:

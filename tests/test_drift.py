@@ -121,6 +121,16 @@ def test_table_keeps_fields_without_a_column(spark):
     }
 
 
+def test_folded_table_keeps_the_latest_value_of_each_field(spark):
+    files = [
+        [{"scene_id": "a", "x": 1, "t": 7, "w": "old"}, {"scene_id": "b", "x": 2, "t": 8}, {"scene_id": "c", "x": 3}],
+        [{"scene_id": "a", "y": 1, "t": None, "w": "new"}, {"scene_id": "a", "y": 9, "w": "repeated"}, {"scene_id": "b", "y": 2}],
+        [{"scene_id": "a", "w": None}],
+    ]
+    got = {r.record: (r.file_id, r.x, r.t, r.w) for r in drift.unified_table(_lines(spark, files), "scenes", ["x", "t", "w"], fold=True).collect()}
+    assert got == {"a": (2, "1", "7", '"new"'), "b": (1, "2", "8", None), "c": (0, "3", None, None)}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert drift.schema_changes(empty).count() == 0
