@@ -331,7 +331,9 @@ def similar_vectors(df: DataFrame, id_column: str, vector: str, k: int = 10, flo
     if floor is not None:
         pairs = pairs.where(F.col("similarity") >= floor)
     by_class = Window.partitionBy("cls").orderBy(F.desc("similarity"), "other")
-    nearest = pairs.distinct().withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k).drop("r")
+    # rows of a cell meet in each of its slices, where the order of rows may change the last bit of a similarity
+    pairs = pairs.groupBy("cls", "other").agg(F.max("similarity").alias("similarity"))
+    nearest = pairs.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k).drop("r")
 
     # back to ids: members of a class are each other's neighbours, and stand for their class in the lists of others
     own = used.where("n > 1").select("cls", F.col("cls").alias("other"), F.lit(1.0).alias("similarity"))

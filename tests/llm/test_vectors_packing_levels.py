@@ -1,6 +1,7 @@
 """Problems 3, 6 and 8."""
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -46,6 +47,33 @@ def test_one_dense_group_holds_a_third(spark):
     assert len(rows) == 300 and {r["count"] for r in rows} == {10}
 
 
+@pytest.mark.parametrize("floor", [0.9, None])
+def test_slices_list_no_neighbour_twice(spark, monkeypatch, floor):
+    monkeypatch.setattr(knn, "CELL_ROWS", 400)
+    monkeypatch.setattr(knn, "VISITORS", 200)
+    verify = knn._verify
+
+    def last_bit(*a):
+        """In every other partition (slice) similarities one bit higher, as they come from another order of rows."""
+
+        def run(batches):
+            from pyspark import TaskContext
+
+            for b in verify(*a)(batches):
+                s = b.column(2).to_numpy()
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(np.nextafter(s, 2) if TaskContext.get().partitionId() % 2 else s)], names=b.schema.names)
+
+        return run
+
+    monkeypatch.setattr(knn, "_verify", last_bit)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.standard_normal(64) + 0.1 * rng.standard_normal((150, 64)) for _ in range(10)])
+    pairs = [(int(r.id[1:]), int(r.neighbour[1:])) for r in knn.similar_vectors(_frame(spark, x), "id", "v", 10, floor).collect()]
+    assert len(pairs) == len(set(pairs))
+    want = _brute(x, 10, floor)
+    assert len(set(pairs) & want) >= 0.98 * len(want)
+
+
 def test_unusable_vectors(spark):
     v = np.ones(64)
     ids = ["a", "b", "c", "d", "e", "f", None, "a"]
