@@ -141,8 +141,9 @@ def trigram_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_ocr(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes by sequence matching; ten times as many as are kept are verified."""
     queries, docs = _ocr(spark, d)
-    return retrieval.fuzzy_search(queries, docs, C.TOP, 10, least=0.2)
+    return retrieval.fuzzy_search(queries, docs, 10 * 10, 10)
 
 
 @query(
