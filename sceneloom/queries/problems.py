@@ -16,16 +16,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "export_lines"))
 
 
+def _one_table(spark: SparkSession, d: str, entity: str) -> DataFrame:
+    """The table of an entity; values without a place in their column as one text, in order of the columns."""
+    rows = drift.unified_table(table(spark, d, "export_lines"), entity)
+    items = F.transform(F.array_sort(F.map_entries("rest")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return rows.withColumn("rest", F.array_join(items, " | "))
+
+
 def p1_scenes_table(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["video_id", "scene_idx", "start_frame", "end_frame_exclusive", "start_sec", "end_sec", "transition_in", "boundary_confidence_in", "schema_version", "provenance.pipeline_version", "created_at"]
-    columns += ["provenance.model_name", "provenance.model_revision", "provenance.device", "quality_score", "has_ocr", "has_asr", "frame_rate", "review_state", "scene_clip_path"]
-    return drift.unified_table(table(spark, d, "export_lines"), "scenes", columns, fold=True)
+    return _one_table(spark, d, "scenes")
 
 
 def p1_manifest_table(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["schema_version", "pipeline_version", "video_count", "scene_count", "keyframe_count", "created_at"]
-    columns += ["clip_count", "event_count", "notes", "signed", "release_channel", "frame_rate"]
-    return drift.unified_table(table(spark, d, "export_lines"), "dataset_manifest", columns, fold=True)
+    return _one_table(spark, d, "dataset_manifest")
 
 
 def _index_intervals(spark: SparkSession, d: str) -> DataFrame:

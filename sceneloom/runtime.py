@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,21 +28,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sceneloom-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names. Only a local master may do without: all its threads share the machine's folders."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="sceneloom-shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor loses nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table written to the shared folder, so that a lost executor loses nothing.
+
+    The table is computed once, is read by columns and has a known size; it is removed when the application ends.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    base = f"{shared_dir(spark).rstrip('/')}/sceneloom-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    place = f"{base}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 _SHIPPED: set[str] = set()
