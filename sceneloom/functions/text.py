@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -55,6 +55,40 @@ def accent_map() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@cache
+def composing() -> list[tuple[str, str]]:
+    """Letters with one more mark and what they compose to, so ordered that letters of several marks come after their parts.
+
+    Marks above and below a letter compose in either order.
+    """
+    pairs = []
+    for cp in range(0xC0, 0x2000):
+        parts = ud.decomposition(chr(cp)).split()
+        if len(parts) != 2 or parts[0].startswith("<") or ud.normalize("NFC", chr(cp)) != chr(cp):
+            continue
+        head, mark = (chr(int(x, 16)) for x in parts)
+        if ud.category(mark) != "Mn":
+            continue
+        base, *marks = ud.normalize("NFD", chr(cp))
+        pairs.append((len(marks), head + mark, chr(cp)))
+        other = ud.normalize("NFC", base + marks[-1])
+        if len(marks) == 2 and len(other) == 1 and ud.combining(marks[0]) != ud.combining(marks[1]):
+            pairs.append((2, other + marks[0], chr(cp)))
+    return [(a, b) for _, a, b in sorted(pairs)]
+
+
+def compose(c: Column) -> Column:
+    """Letters and their marks as composed letters; texts without marks of their own are left as they are."""
+    pairs = constants(a + b for a, b in composing())
+    cut = lambda p, i, n: F.substring(p, i, n)
+    return F.when(c.rlike(r"\p{Mn}"), F.aggregate(pairs, c, lambda s, p: F.replace(s, cut(p, 1, 2), cut(p, 3, 1)))).otherwise(c)
+
+
+def constants(items: Iterable[str]) -> Column:
+    """An array of fixed texts, as one literal."""
+    return F.split(F.lit("\n".join(items)), "\n")
+
+
 def strip_diacritics(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *accent_map()), r"\p{Mn}+", "")
 
@@ -114,16 +148,6 @@ def plain_normalize(text: str) -> str:
     return " ".join(re.sub(r"[^\w\s]+", " ", plain_strip(text).casefold()).split())
 
 
-def plain_tokens(text: str) -> list[str]:
-    return re.findall(r"\w+", text.casefold())
-
-
-def plain_tags(text: str, lexicon: Lexicon) -> list[str]:
-    low = text.casefold()
-    found = set(re.findall(r"\w+", low))
-    return sorted(name for name, forms in lexicon.items() if any(f in (low if " " in f else found) for f in forms))
-
-
 def token_containment(query: list[str], text: list[str], ratio: float = 0.8) -> float:
     """Share of query words that the text holds, exactly or nearly (sequence matching ratio)."""
     from difflib import SequenceMatcher

@@ -451,29 +451,27 @@ def field_classes(history: DataFrame) -> list[FieldClass]:
     for names in {id(g): g for g in group.values()}.values():
         ordered = sorted(names, key=lambda p: (-uses[p].files, p))
         total = {k: sum(uses[p][k] for p in names) for k in KINDS}
-        kind = max(KINDS, key=lambda k: total[k])  # the first of equals
+        kind = max(("boolean", "integer", "decimal", "string", "array", "object"), key=lambda k: total[k])  # the first of equals
         out.append(FieldClass(ordered[0], tuple(ordered), "decimal" if kind == "integer" and total["decimal"] > 0.5 * total["integer"] else kind))
     return sorted(out, key=lambda c: c.name)
 
 
-_SCALAR = r"^(?!\{|\[)"
-
-
 def _typed(x: Column, kind: str) -> Column:
     """A variant as its column's type; null where it doesn't fit. An array of one value, or an object with a ``value``, is unwrapped for scalar types."""
-    text = lambda p: F.try_variant_get(x, p, "string")
     json = F.to_json(x)
     if kind in ("array", "object"):
         return F.when(json.startswith("[" if kind == "array" else "{"), json)
-    inner = F.when(json.startswith("["), F.when(F.try_variant_get(x, "$[1]", "variant").isNull(), text("$[0]"))).when(json.startswith("{"), text("$.value")).otherwise(text("$"))
-    scalar = F.when(inner.rlike(_SCALAR) | (inner == ""), inner)
+    at = lambda p: F.try_variant_get(x, p, "variant")
+    inner = F.when(json.startswith("["), F.when(at("$[1]").isNull(), at("$[0]"))).when(json.startswith("{"), at("$.value")).otherwise(x)
+    scalar = F.when(~F.to_json(inner).rlike(r"^[\[{]"), F.try_variant_get(inner, "$", "string"))
     if kind == "integer":
         return F.when(scalar.rlike(r"^-?\d{1,18}(\.0+)?$"), F.regexp_extract(scalar, r"^(-?\d+)", 1).cast("bigint"))
     if kind == "decimal":
         return F.when(scalar.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), scalar.try_cast("double"))
     if kind == "boolean":
         return F.when(scalar.isin("true", "1"), True).when(scalar.isin("false", "0"), False)
-    return scalar
+    # a decimal as text keeps its point, which variants drop
+    return F.when(F.schema_of_variant(inner).rlike("^(DECIMAL|DOUBLE)"), F.try_variant_get(inner, "$", "double").cast("string")).otherwise(scalar)
 
 
 def column_names(classes: list[FieldClass], taken: tuple[str, ...]) -> dict[str, str]:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint
+from .skew import HOT_ROWS, join_salted
 
 
 @dataclass(frozen=True)
@@ -75,58 +76,55 @@ def references(record: Record, fk: ForeignKey) -> DataFrame:
     )
 
 
-def orphan_references(records: list[Record], keys: list[ForeignKey]) -> DataFrame:
-    """(ref_table, ref_key, parent_table, missing_key, case_kind, load_month, child_key): every reference that fails.
+_EDGE = ["parent_table", "parent_key"]
 
-    Both sides are reduced to one row per key before they meet. A key that very many records
-    refer to makes a skewed side of one equi-join, which adaptive execution splits.
-    """
-    by_name = {r.name: r for r in records}
-    came = {r.name: arrivals(r) for r in records}
-
-    def failing(fk: ForeignKey) -> DataFrame:
-        child = came[fk.child].select(F.col("key").alias("child_key"), F.col("raw_key").alias("ref_key"), F.col("arrived").alias("t"))
-        parent = came[fk.parent].select(F.col("key").alias("parent_key"), "arrived", "deleted", F.lit(True).alias("there"))
-        kind = (
-            F.when(F.col("there").isNull(), "missing")
-            .when(F.col("arrived") > F.col("t"), "late")
-            .when((F.col("arrived") <= F.col("t")) & (F.col("deleted") <= F.col("t")), "deleted")
-        )
-        return (
-            references(by_name[fk.child], fk)
-            .join(parent, "parent_key", "left")
-            .join(child, "child_key")
-            .select(F.lit(fk.child).alias("ref_table"), "ref_key", F.lit(fk.parent).alias("parent_table"), F.col("parent_key").alias("missing_key"), kind.alias("case_kind"), F.date_format("t", "yyyy-MM").alias("load_month"), "child_key")
-            .where("case_kind is not null")
-        )
 
-    return reduce(DataFrame.unionByName, map(failing, keys))
+def _record_keys(df: DataFrame, table: str, key: str) -> DataFrame:
+    return df.select(F.col("table").alias(table), F.col("key").alias(key))
 
 
-def orphan_cascade(records: list[Record], keys: list[ForeignKey], max_rounds: int = 50) -> DataFrame:
-    """(table, key, depth): the orphaned records; depth 0 refers to a failing key itself, depth d to an orphan of depth d-1.
+def orphan_cascade(records: list[Record], keys: list[ForeignKey], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(ref_table, ref_key, parent_table, missing_key, case_kind, load_month, child_key, depth): every orphan reference.
 
-    Each round semi-joins the references with the orphans of the round before and drops those already
-    known; the loop ends when a round finds none. Rounds are checkpointed to the shared folder.
+    Depth 0 are the references that fail themselves (``missing``, ``late``, ``deleted``); their records are direct
+    orphans. A reference to a record that is an orphan of depth d, and doesn't fail itself, is ``inherited`` with
+    depth d + 1. Each round semi-joins the references with the orphans that the round before has found first, and
+    the loop ends at the fixpoint, when a round finds none; there is no limit of rounds. Rounds are written to the
+    shared folder. Parents that very many records refer to are split (see ``skew``).
     """
+    by_name = {r.name: r for r in records}
+    came = checkpoint(reduce(DataFrame.unionByName, [arrivals(r).withColumn("table", F.lit(r.name)) for r in records]))
     edges = checkpoint(
-        reduce(
-            DataFrame.unionByName,
-            [references(next(r for r in records if r.name == fk.child), fk).withColumns({"child_table": F.lit(fk.child), "parent_table": F.lit(fk.parent)}) for fk in keys],
-        )
+        reduce(DataFrame.unionByName, [references(by_name[fk.child], fk).select(F.lit(fk.child).alias("child_table"), "child_key", F.lit(fk.parent).alias("parent_table"), "parent_key") for fk in keys])
     )
-    direct = orphan_references(records, keys).select(F.col("ref_table").alias("table"), F.col("child_key").alias("key")).distinct().withColumn("depth", F.lit(0))
-    known = frontier = checkpoint(direct)
-    for depth in range(1, max_rounds + 1):
-        reached = (
-            edges.join(frontier.select(F.col("table").alias("parent_table"), F.col("key").alias("parent_key")), ["parent_table", "parent_key"], "left_semi")
-            .select(F.col("child_table").alias("table"), F.col("child_key").alias("key"))
-            .distinct()
-            .join(known, ["table", "key"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier = checkpoint(reached)
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
-    return known
+    parent = came.select(F.col("table").alias("parent_table"), F.col("key").alias("parent_key"), "arrived", "deleted", F.lit(True).alias("there"))
+    child = came.select(F.col("table").alias("child_table"), F.col("key").alias("child_key"), F.col("raw_key").alias("ref_key"), F.col("arrived").alias("t"))
+    kind = (
+        F.when(F.col("there").isNull(), "missing")
+        .when(F.col("arrived") > F.col("t"), "late")
+        .when((F.col("arrived") <= F.col("t")) & (F.col("deleted") <= F.col("t")), "deleted")
+    )
+    known_parents = join_salted(edges, parent, _EDGE, "left", hot_rows)
+    direct = known_parents.join(child, ["child_table", "child_key"]).withColumn("case_kind", kind).where("case_kind is not null")
+    shape = [F.col("child_table").alias("ref_table"), "ref_key", "parent_table", F.col("parent_key").alias("missing_key"), "case_kind", F.date_format("t", "yyyy-MM").alias("load_month"), "child_key"]
+    found = checkpoint(direct.select(*shape, F.lit(0).alias("depth")))
+    failing = found.select(F.col("ref_table").alias("child_table"), "child_key", "parent_table", F.col("missing_key").alias("parent_key"))
+    orphans = frontier = checkpoint(found.select(F.col("ref_table").alias("table"), F.col("child_key").alias("key")).distinct())
+    levels, depth = [found], 0
+    while not frontier.isEmpty():
+        depth += 1
+        # a record becomes an orphan once, so each reference is reached once
+        met = join_salted(edges, _record_keys(frontier, *_EDGE), _EDGE, "left_semi", hot_rows)
+        inherited = met.join(failing, ["child_table", "child_key", *_EDGE], "left_anti").join(child, ["child_table", "child_key"])
+        level = checkpoint(inherited.withColumn("case_kind", F.lit("inherited")).select(*shape, F.lit(depth).alias("depth")))
+        levels.append(level)
+        frontier = checkpoint(level.select(F.col("ref_table").alias("table"), F.col("child_key").alias("key")).distinct().join(orphans, ["table", "key"], "left_anti"))
+        orphans = orphans.unionByName(frontier)
+        if depth % 16 == 0:
+            orphans, levels = checkpoint(orphans), [checkpoint(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
+
+
+def orphan_records(cascade: DataFrame) -> DataFrame:
+    """(table, key, depth): the records behind the references of a cascade, each with its least depth."""
+    return cascade.groupBy(F.col("ref_table").alias("table"), F.col("child_key").alias("key")).agg(F.min("depth").alias("depth"))

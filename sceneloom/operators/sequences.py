@@ -32,25 +32,31 @@ def link_steps(hits: DataFrame, steps: int, beam: int = 100, gap_penalty: float
 
 
 def rank_videos(hits: DataFrame, steps: int, top: int = 5, least_coverage: float = 0.5) -> DataFrame:
-    """(query_id, video_id, coverage, ordered, score, rank): how well each video holds the steps of a query in order.
+    """(query_id, video_id, coverage, ordered, score, below, rank): how well each video holds the steps of a query in order.
 
-    The best hit of each step counts; score: coverage + 0.6 x share of successive pairs in order + 0.4 x mean of the
-    step scores - 0.5 x share of steps that use a frame of another step.
+    Hits are (query_id, step, video_id, scene_id, frame_idx, score); the best hit of each step counts. Score: coverage
+    + 0.6 x share of the pairs of neighbouring steps that are both there and in order of frames + 0.4 x mean step score
+    over the best score of the query - 0.5 x share of steps that use a scene of another step. Videos below the least
+    coverage are left out, unless a query has no other: then its best one stays, marked ``below``.
     """
-    best = hits.groupBy("query_id", "video_id", "step").agg(F.max_by(F.struct("frame_idx", "score"), F.struct("score", (-F.col("frame_idx")).alias("f"))).alias("b"))
+    best = hits.groupBy("query_id", "video_id", "step").agg(F.max_by(F.struct("frame_idx", "score", "scene_id"), F.struct("score", (-F.col("frame_idx")).alias("f"), "scene_id")).alias("b"))
     w = Window.partitionBy("query_id", "video_id").orderBy("step")
-    seen = best.select("query_id", "video_id", "step", "b.frame_idx", "b.score").withColumn("next", F.lead("frame_idx").over(w))
-    out = seen.groupBy("query_id", "video_id").agg(
+    following = (F.lead("step").over(w) == F.col("step") + 1) & (F.lead("b.frame_idx").over(w) > F.col("b.frame_idx"))
+    out = best.withColumn("rising", following).groupBy("query_id", "video_id").agg(
         F.round(F.count(F.lit(1)) / F.lit(steps), 6).alias("coverage"),
-        F.count_if(F.col("next") > F.col("frame_idx")).alias("rising"),
-        F.round(F.avg("score"), 6).alias("mean"),
-        (F.count(F.lit(1)) - F.countDistinct("frame_idx")).alias("shared"),
-        F.count(F.lit(1)).alias("n"),
+        F.count_if("rising").alias("rising"),
+        F.avg("b.score").alias("mean"),
+        (1 - F.countDistinct("b.scene_id") / F.count(F.lit(1))).alias("shared"),
     )
-    ordered = F.when(F.lit(steps) > 1, F.col("rising") / F.lit(max(steps - 1, 1))).otherwise(1.0)
-    out = out.withColumn("ordered", F.round(ordered, 6)).withColumn("score", F.round(F.col("coverage") + 0.6 * F.col("ordered") + 0.4 * F.col("mean") - 0.5 * F.col("shared") / F.col("n"), 6))
+    ordered = F.col("rising") / F.lit(steps - 1) if steps > 1 else F.lit(1.0)
+    tops = hits.groupBy("query_id").agg(F.max("score").alias("top"))
+    context = F.col("mean") / F.coalesce(F.nullif("top", F.lit(0.0)), F.lit(1.0))
+    scored = out.join(tops, "query_id").withColumn("ordered", F.round(ordered, 6)).withColumn("score", F.round(F.col("coverage") + 0.6 * F.col("ordered") + 0.4 * context - 0.5 * F.col("shared"), 6))
+    enough = F.col("coverage") >= least_coverage
+    served = scored.groupBy("query_id").agg(F.max(enough).alias("served"), F.max(F.struct("score", "video_id"))["video_id"].alias("last"))
+    kept = scored.join(served, "query_id").withColumn("below", ~enough).where(enough | (~F.col("served") & (F.col("video_id") == F.col("last"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "video_id"))
-    return out.where(F.col("coverage") >= least_coverage).withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "video_id", "coverage", "ordered", "score", "rank")
+    return kept.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "video_id", "coverage", "ordered", "score", "below", "rank")
 
 
 def beam_search(hits: DataFrame, steps: int, beam: int = 50, max_gap_sec: float = 300.0, gap_penalty: float = 0.002, missing: float | None = -0.5) -> DataFrame:

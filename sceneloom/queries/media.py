@@ -372,12 +372,16 @@ h AS (SELECT video_id, scene_id, frame_idx AS f, timestamp_sec AS t, step, max(s
 
 @query(
     _HIT
-    + """, b AS (SELECT video_id, step, arg_max(f, (s, -f)) AS f, max(s) AS s FROM h GROUP BY 1, 2), n AS (SELECT *, lead(f) OVER (PARTITION BY video_id ORDER BY step) AS nx FROM b),
-v AS (SELECT video_id, round(count(*) / 3.0, 6) AS coverage, round(count(*) FILTER (nx > f) / 2.0, 6) AS ordered, round(avg(s), 6) AS mean, (count(*) - count(DISTINCT f)) / CAST(count(*) AS DOUBLE) AS dup FROM n GROUP BY 1)
-SELECT video_id, coverage, ordered, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, video_id) AS rank FROM (SELECT *, round(coverage + 0.6 * ordered + 0.4 * mean - 0.5 * dup, 6) AS score FROM v WHERE coverage >= 0.5)) WHERE rank <= 5"""
+    + """, b AS (SELECT video_id, step, arg_max((f, scene_id), (s, -f, scene_id)) AS x, max(s) AS s FROM h GROUP BY 1, 2),
+n AS (SELECT video_id, step, x[1] AS f, x[2] AS sc, s FROM b),
+p AS (SELECT a.video_id, count(*) AS rising FROM n a JOIN n b ON a.video_id = b.video_id AND b.step = a.step + 1 AND b.f > a.f GROUP BY 1),
+v AS (SELECT video_id, round(count(*) / 3.0, 6) AS coverage, round(coalesce(max(rising), 0) / 2.0, 6) AS ordered, avg(s) / (SELECT max(s) FROM h) AS context, 1 - count(DISTINCT sc) / CAST(count(*) AS DOUBLE) AS shared FROM n LEFT JOIN p USING (video_id) GROUP BY 1),
+r AS (SELECT *, round(coverage + 0.6 * ordered + 0.4 * context - 0.5 * shared, 6) AS score, coverage < 0.5 AS below FROM v),
+k AS (SELECT * FROM r WHERE NOT below UNION ALL SELECT * FROM (SELECT * FROM r ORDER BY score DESC, video_id DESC LIMIT 1) WHERE (SELECT bool_and(below) FROM r))
+SELECT video_id, coverage, ordered, score, below, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, video_id) AS rank FROM k) WHERE rank <= 5"""
 )
 def trake_videos(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.rank_videos(_labelled(spark, d), 3).select("video_id", "coverage", "ordered", "score", "rank")
+    return sequences.rank_videos(_labelled(spark, d), 3).select("video_id", "coverage", "ordered", "score", "below", "rank")
 
 
 @query(

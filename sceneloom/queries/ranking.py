@@ -62,12 +62,56 @@ def text_hints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.contains_hint(F.col("text"), planner.SPEECH_HINTS).alias("spoken"))
 
 
-@query()
+# words between marks, as the regular expressions of SQL know no words of other alphabets
+_WORDS = r"regexp_replace({0}, '([\p{{L}}\p{{N}}_]+)', '‹\1›', 'g')"
+_BARE = "replace(replace({0}, '‹', ''), '›', '')"
+_QUOTE = '["“”]([^"“”]{2,})["“”]'
+_STEPS = "(?i)‹(?:sau› ‹đó|tiếp› ‹theo|kế› ‹tiếp|cuối› ‹cùng|rồi(?:› ‹thì)?|then|next|finally)›"
+_NOT = r"(?i)‹(?:không› ‹có|không|chẳng› ‹có|chẳng|without|not)›\s+([^,.;:!?\n]+)"
+
+
+def _clean_sql(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '[\s\p{{Z}}]+', ' ', 'g'), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
+
+
+def _pieces_sql(c: str, pattern: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({c}, '{pattern}'), lambda x: {_clean_sql(_BARE.format('x'))}), lambda x: x <> '')"
+
+
+def _holds_sql(c: str, marks: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{m}')" for m in marks) + ")"
+
+
+_KIND = "CASE " + " ".join(f"WHEN {_holds_sql('low', marks)} THEN '{kind}'" for kind, marks in planner.ANSWER_MARKERS) + " ELSE 'other' END"
+_PLANS = C.CURRENT + rf""",
+n AS (SELECT query_id, nullif(trim(regexp_replace(nfc_normalize(query), '[\s\p{{Z}}]+', ' ', 'g')), '') AS q FROM qy),
+w AS (SELECT *, {_WORDS.format('q')} AS w, replace(lower(q), 'ß', 'ss') AS low, list_transform(regexp_extract_all(q, '{_QUOTE}', 1), lambda x: trim(x)) AS phrases FROM n WHERE q IS NOT NULL),
+e AS (SELECT *, list_filter(list_transform(list_slice(regexp_split_to_array(q, '\(\d+\)\s*'), 2, 1000000), lambda x: {_clean_sql('x')}), lambda x: x <> '') AS listed, {_pieces_sql('w', _STEPS)} AS parts,
+  list_filter(list_transform(regexp_extract_all(w, '{_NOT}', 1), lambda x: {C.normalize_sql(_BARE.format('x'))}), lambda x: x <> '') AS negatives,
+  {_pieces_sql(_WORDS.format(_clean_sql(f"regexp_replace(q, '{_QUOTE}', ' ', 'g')")), _STEPS)} AS aims,
+  list_filter(list_transform(string_split(regexp_replace(q, '([.?!])\s+', '\1‡', 'g'), '‡'), lambda x: trim(x)), lambda x: x <> '') AS told FROM w),
+a AS (SELECT *, coalesce(list_max(list_filter(range(1, len(told) + 1), lambda i: contains(told[i], '?'))), len(told)) AS place FROM e)
+SELECT query_id, q AS normalized, array_to_string(CASE WHEN len(listed) >= 2 THEN listed WHEN len(parts) >= 2 THEN parts ELSE [q] END, ' | ') AS events, array_to_string(phrases, ' | ') AS phrases, array_to_string(negatives, ' | ') AS negatives,
+  CASE WHEN len(aims) > 0 THEN aims[-1] ELSE coalesce(nullif(array_to_string(phrases, ' '), ''), q) END AS target, CASE WHEN len(aims) > 1 THEN array_to_string(aims[:-2], ' ') ELSE '' END AS context,
+  {_KIND} AS answer_type, CASE WHEN len(told) < 2 THEN q ELSE array_to_string(list_transform(list_filter(range(1, len(told) + 1), lambda i: i <> place), lambda i: told[i]), ' ') END AS event_query, CASE WHEN len(told) < 2 THEN q ELSE told[place] END AS question_target,
+  CAST(CASE WHEN len(phrases) > 0 OR {_holds_sql('low', planner.TEXT_HINTS)} THEN 2.0 ELSE 0.35 END AS DOUBLE) AS ocr_weight, CAST(CASE WHEN {_holds_sql('low', planner.SPEECH_HINTS)} THEN 1.7 ELSE 0.25 END AS DOUBLE) AS asr_weight FROM a"""
+
+
+@query(_PLANS)
 def query_plans(spark: SparkSession, d: str) -> DataFrame:
     """Plans of all known-item queries; lists as text."""
     plans = planner.plan_queries(C.kis(spark, d))
-    lists = [c for c, t in plans.dtypes if t == "array<string>"]
-    return plans.withColumns({c: F.array_join(c, " | ") for c in lists}).withColumn("groups", F.to_json("groups"))
+    lists = ("events", "phrases", "negatives")
+    return plans.select(
+        "query_id", "normalized", *[F.array_join(c, " | ").alias(c) for c in lists], "target", "context", "answer_type", "event_query", "question_target", "ocr_weight", "asr_weight"
+    )
+
+
+@query()
+def query_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """What known-item queries must show and what they are expanded by; lists as text."""
+    plans = planner.plan_queries(C.kis(spark, d))
+    return plans.select("query_id", *[F.array_join(c, " | ").alias(c) for c in ("must", "rare", "nice", "terms", "colors")], F.to_json("groups").alias("groups"))
 
 
 # --- branches ---

@@ -1,5 +1,7 @@
 """Operators that SQL can't express, edge cases, sources and sinks."""
 
+import re
+import unicodedata
 import uuid
 from datetime import datetime
 
@@ -7,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sceneloom import runtime
 from sceneloom.functions import text as T
 from sceneloom.functions import vectors as V
 from sceneloom.operators import ingest, joins, media, metrics, quality, retrieval, scoring, selection, sequences, tasks
@@ -19,11 +22,18 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+def plain_tags(text, lexicon):
+    low = text.casefold()
+    found = set(re.findall(r"\w+", low))
+    return sorted(name for name, forms in lexicon.items() if any(f in (low if " " in f else found) for f in forms))
+
+
 def test_text_functions(spark):
     for t in ["", "Đường PHỐ, đẹp!", "Straße ß", "  a\tb ", "cà phê", "x" * 50_000]:
         assert one(spark, T.normalize(F.lit(t))) == T.plain_normalize(t)
-        assert one(spark, T.tokens(F.lit(t))) == T.plain_tokens(t)
-        assert one(spark, T.lexicon_tags(F.lit(t + " xanh lá đi bộ"), T.COLORS | T.ACTIONS)) == T.plain_tags(t + " xanh lá đi bộ", T.COLORS | T.ACTIONS)
+        assert one(spark, T.tokens(F.lit(t))) == re.findall(r"\w+", t.casefold())
+        assert one(spark, T.compose(F.lit(unicodedata.normalize("NFD", t)))) == unicodedata.normalize("NFC", t)
+        assert one(spark, T.lexicon_tags(F.lit(t + " xanh lá đi bộ"), T.COLORS | T.ACTIONS)) == plain_tags(t + " xanh lá đi bộ", T.COLORS | T.ACTIONS)
     assert one(spark, T.tokens(F.lit(None).cast("string"))) == []
     assert set(one(spark, T.trigrams(F.lit("abc")))) == {"  a", " ab", "abc", "bc "}
     assert [one(spark, T.phrase_level(F.lit(p), F.lit("mot hai ba"))) for p in ("hai ba", "hai ba mot", "ba xx yy", "zz", "")] == ["exact", "partial", "hit", "miss", "miss"]
@@ -43,20 +53,46 @@ def test_vectors(spark):
     assert one(spark, F.size(V.native_hash_vector(F.array(F.lit("a")), 8))) == 8
 
 
-def test_planner():
-    assert planner.split_events("(1) người đi; (2) xe chạy") == ["người đi", "xe chạy"]
-    assert planner.split_events("người đi, sau đó xe chạy") == ["người đi", "xe chạy"]
-    assert planner.prepare('người cào muối, sau đó vẫy tay, có chữ "xin chào"')["phrases"] == ["xin chào"]
-    assert planner.negatives("bãi biển không có thuyền, without cars") == ["thuyen", "cars"]
-    assert planner.modality_weights('có chữ "a b"', ["a b"])["ocr"] == 2.0 and planner.modality_weights("người nói", [])["asr"] == 1.7
-    assert planner.criteria("người lớn và trẻ em, đang dạy hoặc tưới cây")[-1] == ["đang dạy", "tưới cây"]
-    assert planner.question("Một đoàn người đi. Có bao nhiêu người?")["answer_type"] == "count"
-    assert planner.question("Một đoàn người đi. Có bao nhiêu người?")["question_target"] == "Có bao nhiêu người?"
-    assert planner.expansion_terms("cánh đồng muối") == ["salt field", "salt flat"]
-    sig = planner.signature('Biển hiệu "Phở 24" cạnh UNESCO không có xe, 12 người')
-    assert "Phở 24" in sig["must"] and {"Phở 24", "12", "UNESCO"} <= set(sig["rare"]) and sig["negative"] == ["xe"]
-    with pytest.raises(ValueError):
-        planner.normalize_query("  ")
+def test_planner(spark):
+    texts = [
+        "(1) người đi; (2) xe chạy",
+        "Tìm bốn khoảnh khắc: (1) người đi; (2) xe chạy.",
+        "Cảnh quay tại toà nhà số (1) Láng Hạ vào buổi sáng",
+        "người đi, Sau đó xe chạy",
+        'người cào muối, sau đó vẫy tay, có chữ "xin chào"',
+        '"chỉ có chữ"',
+        "bãi biển không có thuyền, without cars",
+        "người nói",
+        "người lớn và trẻ em, đang dạy hoặc tưới cây",
+        "Một đoàn người đi. Có bao nhiêu người?",
+        "cánh đồng muối",
+        'Biển hiệu "Phở 24" cạnh UNESCO không có xe, 12 người',
+        "  ",
+        None,
+        unicodedata.normalize("NFD", "  Cánh  đồng "),
+    ]
+    rows = planner.plan_queries(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, query string")).collect()
+    plans = {texts[int(r.query_id)]: r for r in rows}
+    plan = plans.get
+
+    assert plan("(1) người đi; (2) xe chạy").events == ["người đi", "xe chạy"]
+    assert plan("Tìm bốn khoảnh khắc: (1) người đi; (2) xe chạy.").events == ["người đi", "xe chạy"]
+    assert plan("Cảnh quay tại toà nhà số (1) Láng Hạ vào buổi sáng").events == ["Cảnh quay tại toà nhà số (1) Láng Hạ vào buổi sáng"]
+    assert plan("người đi, Sau đó xe chạy").events == ["người đi", "xe chạy"]
+    p = plan('người cào muối, sau đó vẫy tay, có chữ "xin chào"')
+    assert (p.phrases, p.target, p.context, p.ocr_weight) == (["xin chào"], "vẫy tay, có chữ", "người cào muối", 2.0)
+    assert plan('"chỉ có chữ"').target == "chỉ có chữ"
+    p = plan("bãi biển không có thuyền, without cars")
+    assert p.negatives == ["thuyen", "cars"] and p.groups == [["bãi biển"]]
+    assert plan("người nói").asr_weight == 1.7
+    assert plan("người lớn và trẻ em, đang dạy hoặc tưới cây").groups == [["người lớn"], ["trẻ"], ["đang dạy", "tưới cây"]]
+    p = plan("Một đoàn người đi. Có bao nhiêu người?")
+    assert (p.answer_type, p.event_query, p.question_target) == ("count", "Một đoàn người đi.", "Có bao nhiêu người?")
+    assert plan("cánh đồng muối").terms == ["salt field", "salt flat"]
+    p = plan('Biển hiệu "Phở 24" cạnh UNESCO không có xe, 12 người')
+    assert p.must == ["Phở 24", "Biển", "hiệu", "UNESCO"] and set(p.rare) == {"Phở 24", "24", "12", "Phở", "UNESCO"} and p.negatives == ["xe"]
+    assert plan("  ") is None and plan(None) is None
+    assert plan(unicodedata.normalize("NFD", "  Cánh  đồng ")).normalized == "Cánh đồng"
 
 
 def test_normalisation_of_small_lists(spark):
@@ -73,6 +109,37 @@ def test_sequence_repairs(spark):
     assert got == [(0, 1, [1, 2, 3]), (1, -1, [0, 1, 3]), (2, 1, [0, 2, 4])]
 
 
+def test_videos_by_their_steps(spark):
+    shape = "query_id string, step int, video_id string, scene_id string, frame_idx int, score double"
+    rows = [("q", 0, "v", "s0", 100, 0.8), ("q", 2, "v", "s2", 200, 0.4), ("q", 0, "w", "t0", 5, 0.8), ("q", 1, "w", "t0", 9, 0.8), ("q", 0, "x", "u", 1, 0.7)]
+    rows += [("r", 0, "v", "s0", 1, 0.5), ("r", 0, "w", "s1", 1, 0.5)]
+    got = {(r.query_id, r.video_id): (r.ordered, r.score, r.below) for r in sequences.rank_videos(spark.createDataFrame(rows, shape), 3).collect()}
+    # v: steps 0 and 2 are no neighbours; w: one pair in order, both steps in one scene; x: below half of the steps; r: nothing better than a third
+    assert got == {
+        ("q", "v"): (0.0, round(2 / 3 + 0.4 * 0.75, 6), False),
+        ("q", "w"): (0.5, round(2 / 3 + 0.3 + 0.4 - 0.25, 6), False),
+        ("r", "w"): (0.0, round(1 / 3 + 0.4, 6), True),
+    }
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Context()
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session())
+    assert runtime.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def test_diverse_selection(spark):
     rows = [("q", "a", "v", 0.9, ["x", "y"]), ("q", "b", "v", 0.85, ["x", "y"]), ("q", "c", "w", 0.8, ["z"]), ("q", "d", "w", 0.1, None)]
     got = [(r.doc_id, r.cluster) for r in tasks.select_diverse(spark.createDataFrame(rows, "query_id string, doc_id string, video_id string, relevance double, words array<string>"), 3).orderBy("rank").collect()]

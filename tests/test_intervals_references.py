@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.operators import intervals as iv
 from sceneloom.operators import references as ref
+from sceneloom.operators.skew import hot_keys, join_salted
 
 
 def brute_periods(rows, tolerance):
@@ -56,8 +57,33 @@ def test_reference_cases(spark):
     queries = spark.createDataFrame([("Q1", t(6), ["S1"]), ("Q2", t(30), ["S2"]), ("Q3", t(30), ["S3", "S3"])], "qid string, loaded_at timestamp_ntz, refs array<string>")
     records = [ref.Record("scenes", scenes, "sid"), ref.Record("frames", frames, "id", deleted_at="deleted_at"), ref.Record("queries", queries, "qid")]
     keys = [ref.ForeignKey("scenes", F.col("refs"), "frames"), ref.ForeignKey("queries", F.col("refs"), "scenes")]
-    got = sorted((r.ref_table, r.ref_key, r.missing_key, r.case_kind, r.load_month) for r in ref.orphan_references(records, keys).collect())
-    assert got == [("scenes", "S1", "K2", "deleted", "2025-03"), ("scenes", "S1", "K3", "late", "2025-03"), ("scenes", "S1", "K9", "missing", "2025-03"), ("scenes", "S3", "K8", "missing", None)]
-    assert sorted(map(tuple, ref.orphan_cascade(records, keys).collect())) == [("queries", "Q1", 1), ("queries", "Q3", 1), ("scenes", "S1", 0), ("scenes", "S3", 0)]
+    for hot_rows in (ref.HOT_ROWS, 1):  # also with every parent split
+        rows = ref.orphan_cascade(records, keys, hot_rows).collect()
+        got = sorted((r.ref_table, r.ref_key, r.missing_key, r.case_kind, r.load_month, r.depth) for r in rows)
+        assert got == [
+            ("queries", "Q1", "S1", "inherited", "2025-03", 1),
+            ("queries", "Q3", "S3", "inherited", "2025-03", 1),
+            ("scenes", "S1", "K2", "deleted", "2025-03", 0),
+            ("scenes", "S1", "K3", "late", "2025-03", 0),
+            ("scenes", "S1", "K9", "missing", "2025-03", 0),
+            ("scenes", "S3", "K8", "missing", None, 0),
+        ]
     none = [ref.Record(r.name, r.df.limit(0), r.key, r.loaded_at, r.deleted_at) for r in records]
-    assert ref.orphan_references(none, keys).count() == 0
+    assert ref.orphan_cascade(none, keys).count() == 0
+
+
+def test_cascade_runs_to_the_end_of_a_chain_and_through_a_circle(spark):
+    # 20 refers to 21, which is missing; each lower number refers to the next; a and b refer to each other and a to 0
+    rows = [(str(i), [str(i + 1)]) for i in range(21)] + [("A", ["B", "0"]), ("B", ["A"])]
+    nodes = ref.Record("nodes", spark.createDataFrame(rows, "id string, refs array<string>").withColumn("at", F.lit(datetime(2025, 1, 1)).cast("timestamp_ntz")), "id", "at")
+    got = {r.key: r.depth for r in ref.orphan_records(ref.orphan_cascade([nodes], [ref.ForeignKey("nodes", F.col("refs"), "nodes")])).collect()}
+    assert got == {str(i): 20 - i for i in range(21)} | {"A": 21, "B": 22}
+
+
+def test_salted_join_equals_the_plain_one(spark):
+    left = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("c", 2)], "k string, n int")
+    right = spark.createDataFrame([("a", 7), ("a", 8), ("b", 9), ("d", 1)], "k string, m int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain, salted = left.join(right, "k", how), join_salted(left, right, ["k"], how, hot_rows=10, salts=4, share=1.0)
+        assert plain.columns == salted.columns and sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, salted.collect()), key=repr)
+    assert hot_keys(left, ["k"], 10, 1.0).collect() == [("a",)] and hot_keys(left, ["k"], 100, 1.0) is None
