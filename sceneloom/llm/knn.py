@@ -1,19 +1,26 @@
 """Most similar vectors for every vector (problem 3).
 
 Vectors of unit length are projected to ``M`` numbers by a fixed matrix of normal
-deviates (a 2-stable projection): the squared projected distance, over the squared
-true distance, follows a chi-square law with M degrees of freedom. A kd-tree over the
-projections is the index. Its upper levels, fitted on a bounded sample, cut the space
-into cells that are tasks; its lower levels are built inside each task. For a group
-of queries the leaves are visited in the order of their projected distance, and in
-each leaf the points whose projected distance passes the chi-square test are verified
-by their true distance. The search of a query stops when the next leaf is so far that
-a point as near as the k-th best so far (or as the similarity asked for) would project
-that far with a probability below ``1 - P``.
-
-Rows are sent to the cells that their own test can't rule out. In a self-join with a
-lowest similarity only one of two rows travels, to half of the cells, and each pair
-that is verified serves both rows.
+deviates. The projection is 2-stable: whatever the direction, each number of the
+difference of two vectors at distance d is normal with variance d squared, so the
+squared projected distance over the squared true one follows a chi-square law with M
+degrees of freedom. A kd-tree over the projections is the index. Its upper levels,
+fitted on a bounded sample, cut the space into cells that are tasks; its lower levels
+are built inside each task. A row is searched in its own leaf first, then in the other
+leaves; in each leaf the points whose projected distance passes the chi-square test
+are verified by their true distance. The search stops at leaves so far that a point
+as near as the k-th best so far (or as the similarity asked for) would lie there with
+a small probability only.
+
+How far a leaf may be follows from the same law: a true neighbour differs from the row
+by M normal deviates, but only what crosses the sides of a box counts as distance to
+the box. That part has no closed form; ``Tree.law`` takes its quantiles from draws: a
+unit vector of similarity s to one projected to x projects to s x plus sqrt(1 - s s)
+times normal deviates. So the test fits any data and any tree. It is far narrower than the chi-square law of the whole distance, which no split of a
+low-dimensional space would pass.
+
+Rows are sent to the cells that this test can't rule out. In a self-join each pair may
+be found from either side, so each side's test may be the narrower.
 
 Equal vectors (after scaling to unit length, to 13 bits) form a class and are searched
 once; a class gives its members' neighbours from the k + 1 smallest ids of each class,
@@ -40,11 +47,14 @@ from ..runtime import checkpoint
 
 #: Numbers of a projection, and the probability that the chi-square test keeps a true neighbour.
 M, P = 16, 0.999
+#: The probability that a box with a true neighbour is visited, where a pair can be found from one side, and from both.
+BOX_P, BOX_P_BOTH = 0.99, 0.975
 #: Rows that the upper kd-tree is fitted on; every row is indexed.
 SAMPLE = 20_000
-#: Fewest cells; rows of a cell; rows that come to a task from other cells.
-CELLS, CELL_ROWS, VISITORS = 8, 200_000, 200_000
-LEAF = 1024
+#: Fewest cells; rows of a cell; rows of a leaf; rows that are searched at a time.
+CELLS, CELL_ROWS, LEAF, BATCH = 8, 200_000, 512, 16_384
+#: Similarities at which the law of boxes is taken, and draws for each.
+LAW_AT, DRAWS = (-0.5, 0.0, 0.2, 0.4, 0.6, 0.8, 0.9, 0.95, 0.98, 1.0), 4_000
 
 
 def chi_square(p: float, m: int) -> float:
@@ -94,47 +104,81 @@ def _prepare(dims: int):
 
 
 class Tree:
-    """The upper levels of the kd-tree: splits of the projected space into cells with boxes."""
+    """A kd-tree: splits of the projected space into ``cells`` boxes, each at a quantile of the widest axis."""
 
     def __init__(self, points: np.ndarray, cells: int) -> None:
-        self.splits: list[tuple[int, int, float, int, int]] = []
-        m = points.shape[1]
-        self.low, self.high = np.full((cells, m), -np.inf), np.full((cells, m), np.inf)
-        self.cells = cells
-        self._split(points, 0, cells)
-
-    def _split(self, points: np.ndarray, first: int, count: int) -> None:
-        """Cells first..first+count-1 share the points, in proportion."""
+        self.cells, m = max(1, cells), points.shape[1]
+        self.low, self.high = np.full((self.cells, m), -np.inf, np.float32), np.full((self.cells, m), np.inf, np.float32)
+        self.root = self._split(points, 0, self.cells)
+
+    def _split(self, points: np.ndarray, first: int, count: int):
+        """Cells first..first+count-1 share the points, in proportion. A node is a cell, or (axis, cut, below, above)."""
         if count == 1:
-            return
+            return first
         left = count // 2
         axis = int(np.argmax(points.var(axis=0))) if len(points) else 0
-        cut = float(np.quantile(points[:, axis], left / count)) if len(points) else 0.0
-        self.splits.append((first, first + left, cut, axis, count))
+        cut = np.float32(np.quantile(points[:, axis], left / count)) if len(points) else np.float32(0)
         below = points[:, axis] <= cut
         self.high[first : first + left, axis] = np.minimum(self.high[first : first + left, axis], cut)
         self.low[first + left : first + count, axis] = np.maximum(self.low[first + left : first + count, axis], cut)
-        self._split(points[below], first, left)
-        self._split(points[~below], first + left, count - left)
+        return axis, cut, self._split(points[below], first, left), self._split(points[~below], first + left, count - left)
 
     def cell(self, points: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(points), np.int64)
-        for first, second, cut, axis, _ in self.splits:  # parents come before their parts
-            at[(at == first) & (points[:, axis] > cut)] = second
-        return at
-
-    def distances(self, points: np.ndarray) -> np.ndarray:
-        """Squared distance of each point to each cell's box."""
-        out = np.empty((len(points), self.cells), np.float32)
-        for c in range(self.cells):
-            gap = np.maximum(0, np.maximum(self.low[c] - points, points - self.high[c]))
-            out[:, c] = (gap * gap).sum(axis=1)
+        out, todo = np.zeros(len(points), np.int64), [(self.root, np.arange(len(points)))]
+        while todo:
+            node, at = todo.pop()
+            if not isinstance(node, tuple):
+                out[at] = node
+                continue
+            axis, cut, below, above = node
+            under = points[at, axis] <= cut
+            todo += [(below, at[under]), (above, at[~under])]
         return out
 
-
-def _route(tree: Tree, slices: int, dims: int, reach: float, queries: bool):
-    """Rows to the tasks that need them: (task, home, cls, q, scale, asks)."""
-    half = tree.cells // 2
+    def visits(self, points: np.ndarray, limit: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(cell, points): those whose squared distance to the cell's box is at most their limit, which may shrink on the way."""
+        n, m = points.shape
+        todo = [(self.root, np.arange(n), np.zeros((n, m), np.float32), np.zeros(n, np.float32))]
+        while todo:
+            node, at, gaps, far = todo.pop()
+            if not isinstance(node, tuple):
+                near = far <= limit[at]
+                if near.any():
+                    yield node, at[near]
+                continue
+            axis, cut, below, above = node
+            beyond = points[at, axis] - cut
+            for child, gap in ((below, np.maximum(beyond, 0)), (above, np.maximum(-beyond, 0))):
+                wider = np.maximum(gaps[:, axis], gap)
+                total = far - gaps[:, axis] ** 2 + wider**2
+                near = np.flatnonzero(total <= limit[at])
+                if near.size:
+                    part = gaps[near]
+                    part[:, axis] = wider[near]
+                    todo.append((child, at[near], part, total[near]))
+
+    def law(self, points: np.ndarray, p: float, seed: int = 5) -> np.ndarray:
+        """For each similarity of ``LAW_AT``: the squared distance to its box within which a point so similar lies with probability p."""
+        if self.cells == 1 or not len(points):
+            return np.full(len(LAW_AT), np.inf)
+        rng = np.random.default_rng(seed)
+        x = points[rng.integers(0, len(points), DRAWS)]
+        noise = rng.standard_normal(x.shape).astype(np.float32)
+        out = []
+        for s in LAW_AT:
+            c = self.cell(np.float32(s) * x + np.float32((1 - s * s) ** 0.5) * noise)
+            gap = np.maximum(0, np.maximum(self.low[c] - x, x - self.high[c]))
+            out.append(np.quantile((gap * gap).sum(axis=1), p))
+        return np.array(out)
+
+
+def reach(law: np.ndarray, similarity: np.ndarray | float) -> np.ndarray:
+    """The law of boxes at any similarity."""
+    return np.interp(similarity, LAW_AT, law).astype(np.float32) if np.isfinite(law).all() else np.full(np.shape(similarity), np.inf, np.float32)
+
+
+def _route(tree: Tree, dims: int, far: float):
+    """Rows to the cells that may hold neighbours of theirs: (task, home, cls, q, scale, asks). Every row goes to its own cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,44 +186,22 @@ def _route(tree: Tree, slices: int, dims: int, reach: float, queries: bool):
                 continue
             cls, q, scale, asks = (batch.column(i) for i in range(4))
             p = decode(q, scale, dims) @ projection(dims)
-            home, far = tree.cell(p), tree.distances(p)
-            number = cls.to_numpy()
-            share = (number.view(np.uint64) >> np.uint64(17)) % np.uint64(slices)
-            asking = asks.to_numpy(zero_copy_only=False)
-            row = np.arange(len(number))
-            rows, tasks, own = [np.repeat(row, slices)], [(home[:, None] * slices + np.arange(slices)).ravel()], [np.ones(len(row) * slices, bool)]
-            for step in range(1, tree.cells if queries else half + 1):
-                to = (home + step) % tree.cells
-                go = far[row, to] <= reach
-                if queries:
-                    go &= asking
-                elif 2 * step == tree.cells:  # opposite cells: one direction is enough
-                    go &= home < half
-                rows.append(row[go])
-                tasks.append((to * slices)[go] + share[go].astype(np.int64))
-                own.append(np.zeros(int(go.sum()), bool))
-            at = pa.array(np.concatenate(rows))
-            yield pa.record_batch([pa.array(np.concatenate(tasks).astype(np.int32)), pa.array(np.concatenate(own)), cls.take(at), q.take(at), scale.take(at), asks.take(at)], names=["task", "home", "cls", "q", "scale", "asks"])
+            home, asking = tree.cell(p), np.flatnonzero(asks.to_numpy(zero_copy_only=False))
+            rows, tasks, own = [np.arange(len(p))], [home], [np.ones(len(p), bool)]
+            for cell, at in tree.visits(p[asking], np.full(len(asking), far, np.float32)):
+                at = asking[at]
+                at = at[home[at] != cell]
+                rows.append(at)
+                tasks.append(np.full(len(at), cell))
+                own.append(np.zeros(len(at), bool))
+            take = pa.array(np.concatenate(rows))
+            yield pa.record_batch(
+                [pa.array(np.concatenate(tasks).astype(np.int32)), pa.array(np.concatenate(own)), cls.take(take), q.take(take), scale.take(take), asks.take(take)], names=["task", "home", "cls", "q", "scale", "asks"]
+            )
 
     return run
 
 
-def leaves(p: np.ndarray, size: int = LEAF) -> list[np.ndarray]:
-    """The lower levels of the kd-tree: groups of points, split at the median of the widest axis."""
-    out, todo = [], [np.arange(len(p))]
-    while todo:
-        at = todo.pop()
-        if len(at) <= size:
-            if len(at):
-                out.append(at)
-            continue
-        x = p[at]
-        axis = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
-        order = np.argpartition(x[:, axis], len(at) // 2)
-        todo += [at[order[len(at) // 2 :]], at[order[: len(at) // 2]]]
-    return out
-
-
 class Best:
     """The k best neighbours of each of n points, from pairs that come in any order."""
 
@@ -209,99 +231,124 @@ class Best:
         return self.parts[0]
 
 
-def search(own: np.ndarray, other: np.ndarray, ask_own: np.ndarray, k: int, floor: float | None, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (a, b, similarity): a's best among b. Rows of ``other`` are numbered after those of ``own``.
+class Index:
+    """The rows of one cell: their kd-tree, and the search of other rows in it."""
+
+    def __init__(self, cls: np.ndarray, vectors: np.ndarray, k: int, floor: float | None, box_p: float, leaf: int) -> None:
+        self.cls, self.k, self.floor = cls, k, floor
+        p = vectors @ projection(vectors.shape[1])
+        self.tree = Tree(p, -(-len(p) // leaf))
+        self.box, self.point = self.tree.law(p, box_p), chi_square(P, M)
+        place = self.tree.cell(p)
+        order = np.argsort(place, kind="stable")
+        self.leaves = np.split(order, np.searchsorted(place[order], np.arange(1, self.tree.cells)))
+        norm = (p * p).sum(axis=1)
+        self.held = [(vectors[h], np.concatenate([p[h], np.ones((len(h), 1), np.float32), norm[h, None]], axis=1)) for h in self.leaves]
+
+    def _meet(self, best: Best, leaf: int, at: np.ndarray, v: np.ndarray, p: np.ndarray, norm: np.ndarray, cls: np.ndarray) -> None:
+        """Verify the points of a leaf for some rows."""
+        h, (vh, packed) = self.leaves[leaf], self.held[leaf]
+        if not len(h) or not len(at):
+            return
+        limit = (self.point * (2 - 2 * best.kth[at])).astype(np.float32)
+        need = None
+        if limit.max() < 2 * self.point:
+            left = np.concatenate([-2 * p[at], (norm[at] - limit)[:, None], np.ones((len(at), 1), np.float32)], axis=1)
+            near = np.flatnonzero((left @ packed.T).ravel() <= 0)
+            if near.size < 0.02 * len(at) * len(h):
+                need = np.divmod(near, len(h))
+        if need is None:
+            s = v[at] @ vh.T
+            hit = s >= best.kth[at][:, None]
+            if hit.sum() > 4 * self.k * len(at):
+                some = min(self.k + 1, len(h))  # one more, as a row may meet itself
+                hit = np.zeros_like(hit)
+                np.put_along_axis(hit, np.argpartition(-s, some - 1, axis=1)[:, :some], True, axis=1)
+            need = np.nonzero(hit)
+            sims = s[need]
+        else:
+            sims = np.einsum("ij,ij->i", v[at[need[0]]], vh[need[1]])
+        a, b = at[need[0]], h[need[1]]
+        other = self.cls[b] != cls[a]
+        if other.any():
+            best.add(a[other], b[other], sims[other])
+
+    def search(self, cls: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cls, other, similarity): the best rows of the cell for each of these rows."""
+        best = Best(len(v), self.k, -2.0 if self.floor is None else self.floor - 2e-5)
+        p = v @ projection(v.shape[1])
+        norm = (p * p).sum(axis=1)
+        first = self.tree.cell(p)
+        order = np.argsort(first, kind="stable")
+        for leaf, at in enumerate(np.split(order, np.searchsorted(first[order], np.arange(1, self.tree.cells)))):
+            self._meet(best, leaf, at, v, p, norm, cls)
+        best.shrink()
+        limit = reach(self.box, best.kth)
+        for leaf, at in self.tree.visits(p, limit):
+            self._meet(best, leaf, at[first[at] != leaf], v, p, norm, cls)
+            if best.held > best.k * len(v):
+                best.shrink()
+                limit[:] = reach(self.box, best.kth)
+        a, b, s = best.shrink()
+        return cls[a], self.cls[b], s
+
+
+_SENT = pa.schema([("task", pa.int32()), ("home", pa.bool_()), ("cls", pa.int64()), ("q", pa.binary()), ("scale", pa.float32()), ("asks", pa.bool_())])
+
+
+def _verify(k: int, floor: float | None, dims: int, box_p: float, leaf: int, most: int):
+    """The search of the rows sent to a cell, whose own rows come first; other rows are searched as they come."""
+
+    def unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return rows["cls"].to_numpy(), decode(rows["q"].combine_chunks(), rows["scale"].combine_chunks(), dims)
+
+    def found(index: Index, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for start in range(0, rows.num_rows, most):
+            a, b, s = index.search(*unpack(rows.slice(start, most)))
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(s.astype(np.float64))], names=["cls", "other", "similarity"])
 
-    ``both``: a pair of two different rows serves both of them (a self-join); else only rows that ask get
-    neighbours: those of ``own`` with ``ask_own`` and all of ``other``.
-    """
-    v = np.concatenate([own, other])
-    p = v @ projection(own.shape[1])
-    norm = (p * p).sum(axis=1)
-    test = chi_square(P, M)
-    lowest = -2.0 if floor is None else floor - 2e-5
-    best = Best(len(v), k, lowest)
-    home = leaves(p[: len(own)])
-    groups = [(g, i) for i, g in enumerate(home)] if both else [(g, None) for g in leaves(p[: len(own)][ask_own])]
-    if not both:
-        mine = np.flatnonzero(ask_own)
-        groups = [(mine[g], None) for g in (x for x, _ in groups)]
-    groups += [(g + len(own), None) for g in leaves(p[len(own) :])]
-    low, high = (np.array([f(p[h], axis=0) for h in home]) for f in (np.min, np.max)) if home else (np.zeros((0, M)),) * 2
-    packed = [(v[h], np.concatenate([p[h], np.ones((len(h), 1), np.float32), norm[h, None]], axis=1)) for h in home]
-    top = np.full(len(home), lowest, np.float32)  # lowest k-th similarity in each leaf
-
-    def reach(s: np.ndarray) -> np.ndarray:
-        """Squared projected distance up to which a point of similarity s is looked for."""
-        return (test * (2 - 2 * s)).astype(np.float32)
-
-    for g, number in groups:
-        gl, gh = p[g].min(axis=0), p[g].max(axis=0)
-        gap = np.maximum(0, np.maximum(low - gh, gl - high))
-        far = (gap * gap).sum(axis=1)
-        vg, pg = v[g], p[g]
-        for j in np.argsort(far, kind="stable"):
-            if number is not None and j < number:
-                continue
-            limit = reach(best.kth[g])
-            widest = limit.max() if not both else max(limit.max(), float(reach(top[j : j + 1])[0]))
-            if far[j] > widest:
-                if both:
-                    continue
-                break
-            h = home[j]
-            if both:
-                limit = np.maximum(limit, reach(top[j : j + 1]))
-            need = None
-            if widest < 2 * test:
-                left = np.concatenate([-2 * pg, (norm[g] - limit)[:, None], np.ones((len(g), 1), np.float32)], axis=1)
-                near = np.flatnonzero((left @ packed[j][1].T).ravel() <= 0)
-                if near.size < 0.02 * len(g) * len(h):
-                    need = np.divmod(near, len(h))
-            if need is None:
-                s = vg @ packed[j][0].T
-                least = np.minimum(best.kth[g][:, None], best.kth[h][None, :]) if both else best.kth[g][:, None]
-                hit = s >= least
-                if hit.sum() > 4 * k * (len(g) + len(h)):
-                    hit = np.zeros_like(hit)
-                    some = min(k + 1, len(h))
-                    np.put_along_axis(hit, np.argpartition(-s, some - 1, axis=1)[:, :some], True, axis=1)
-                    if both:
-                        some = min(k + 1, len(g))
-                        np.put_along_axis(hit, np.argpartition(-s, some - 1, axis=0)[:some], True, axis=0)
-                need = np.nonzero(hit)
-                sims = s[need]
-            else:
-                sims = np.einsum("ij,ij->i", vg[need[0]], packed[j][0][need[1]])
-            a, b = g[need[0]], h[need[1]]
-            keep = a < b if number == j else a != b
-            a, b, sims = a[keep], b[keep], sims[keep]
-            if a.size:
-                best.add(a, b, sims)
-                if both:
-                    best.add(b, a, sims)
-                if floor is None or a.size > k * len(g):
-                    best.shrink()
-                    if both:
-                        top[j] = best.kth[h].min()
-    yield best.shrink()
-
-
-def _verify(k: int, floor: float | None, dims: int, both: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), pa.schema([("task", pa.int32()), ("home", pa.bool_()), ("cls", pa.int64()), ("q", pa.binary()), ("scale", pa.float32()), ("asks", pa.bool_())]))
-        for task in pa.compute.unique(rows["task"]).to_pylist():
-            part = rows.filter(pa.compute.equal(rows["task"], task))
-            own, other = part.filter(part["home"]), part.filter(pa.compute.invert(part["home"]))
-            cls = np.concatenate([own["cls"].to_numpy(), other["cls"].to_numpy()])
-            vectors = [decode(x["q"].combine_chunks(), x["scale"].combine_chunks(), dims) if x.num_rows else np.zeros((0, dims), np.float32) for x in (own, other)]
-            asks = own["asks"].to_numpy().astype(bool)
-            for a, b, s in search(*vectors, asks, k, floor, both):
-                yield pa.record_batch([pa.array(cls[a]), pa.array(cls[b]), pa.array(s.astype(np.float64))], names=["cls", "other", "similarity"])
+        task, index, own, waiting = None, None, [], []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            """Index the own rows, and search those of them that ask."""
+            nonlocal index, own
+            if own:
+                rows, own = pa.Table.from_batches(own, _SENT), []
+                index = Index(*unpack(rows), k, floor, box_p, leaf)
+                yield from found(index, rows.filter(rows["asks"]))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            yield from settle()
+            if waiting and index is not None:
+                yield from found(index, pa.Table.from_batches(waiting, _SENT))
+            waiting = []
+
+        for batch in batches:
+            while batch.num_rows:
+                first = batch.column(0)[0].as_py()
+                if first != task:
+                    yield from flush()
+                    task, index = first, None
+                same = int(np.argmax(np.append(batch.column(0).to_numpy() != first, True)))
+                part, batch = batch.slice(0, same), batch.slice(same)
+                home = int(np.argmax(np.append(~batch_home(part), True)))
+                if home:
+                    own.append(part.slice(0, home))
+                if home < part.num_rows:
+                    waiting.append(part.slice(home))
+                    if sum(b.num_rows for b in waiting) >= most:
+                        yield from flush()
+        yield from flush()
 
     return run
 
 
+def batch_home(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+
+
 def similar_vectors(df: DataFrame, id_column: str, vector: str, k: int = 10, floor: float | None = None, dims: int = 64, loaded_at: str | None = None, asks: str | None = None) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar other ids of each id.
 
@@ -318,20 +365,22 @@ def similar_vectors(df: DataFrame, id_column: str, vector: str, k: int = 10, flo
     classes = rows.groupBy("cls").agg(F.first("q").alias("q"), F.first("scale").alias("scale")).join(used, "cls").select("cls", "q", "scale", "asks")
 
     cells = max(CELLS, -(-count // CELL_ROWS))
-    slices = max(1, -(-count // 2 // VISITORS))
     every = max(1, count // SAMPLE)
     sample = rows.where(F.pmod("cls", F.lit(every)) == 0).groupBy("cls").agg(F.first("q").alias("q"), F.first("scale").alias("scale")).limit(4 * SAMPLE).toArrow().combine_chunks()
     points = decode(sample["q"].combine_chunks(), sample["scale"].combine_chunks(), dims) @ projection(dims) if sample.num_rows else np.zeros((0, M), np.float32)
     tree = Tree(points, cells)
 
     both = floor is not None and asks is None
-    reach = chi_square(P, M) * (2 - 2 * (floor - 2e-5)) if floor is not None else np.inf
-    sent = classes.mapInArrow(_route(tree, slices, dims, reach, not both), "task int, home boolean, cls bigint, q binary, scale float, asks boolean")
-    pairs = sent.repartitionById(cells * slices, F.col("task")).mapInArrow(_verify(k, floor, dims, both), "cls bigint, other bigint, similarity double")
+    box_p = BOX_P_BOTH if both else BOX_P
+    far = float(reach(tree.law(points, box_p), floor)) if floor is not None else np.inf
+    sent = classes.mapInArrow(_route(tree, dims, far), "task int, home boolean, cls bigint, q binary, scale float, asks boolean")
+    pairs = sent.repartitionById(cells, F.col("task")).sortWithinPartitions("task", F.desc("home")).mapInArrow(_verify(k, floor, dims, box_p, LEAF, BATCH), "cls bigint, other bigint, similarity double")
     if floor is not None:
         pairs = pairs.where(F.col("similarity") >= floor)
+    if both:  # a pair that only one side has found serves the other as well
+        pairs = pairs.select("cls", "other", "similarity", F.explode(F.array(F.lit(False), F.lit(True))).alias("turn")).select(F.when(F.col("turn"), F.col("other")).otherwise(F.col("cls")).alias("cls"), F.when(F.col("turn"), F.col("cls")).otherwise(F.col("other")).alias("other"), "similarity")
     by_class = Window.partitionBy("cls").orderBy(F.desc("similarity"), "other")
-    # rows of a cell meet in each of its slices, where the order of rows may change the last bit of a similarity
+    # the two sides of a pair may differ in the last bit of the similarity
     pairs = pairs.groupBy("cls", "other").agg(F.max("similarity").alias("similarity"))
     nearest = pairs.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k).drop("r")
 
