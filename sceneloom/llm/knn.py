@@ -55,6 +55,8 @@ SAMPLE = 20_000
 CELLS, CELL_ROWS, LEAF, BATCH = 8, 200_000, 512, 16_384
 #: Similarities at which the law of boxes is taken, and draws for each.
 LAW_AT, DRAWS = (-0.5, 0.0, 0.2, 0.4, 0.6, 0.8, 0.9, 0.95, 0.98, 1.0), 4_000
+#: Rows whose true neighbours are looked up to fit how far boxes may be, and pairs needed for it.
+PROBES, LEAST_PAIRS = 256, 50
 
 
 def chi_square(p: float, m: int) -> float:
@@ -172,9 +174,34 @@ class Tree:
         return np.array(out)
 
 
-def reach(law: np.ndarray, similarity: np.ndarray | float) -> np.ndarray:
-    """The law of boxes at any similarity."""
-    return np.interp(similarity, LAW_AT, law).astype(np.float32) if np.isfinite(law).all() else np.full(np.shape(similarity), np.inf, np.float32)
+class Reach:
+    """How far a box may be that has a neighbour of a given similarity.
+
+    The wider of two laws: that of draws (``Tree.law``), and the distances, in units of the true ones, at which the
+    true neighbours of a few rows of the index lie. In clustered data neighbours lie more across the sides of boxes
+    than draws do.
+    """
+
+    def __init__(self, tree: Tree, vectors: np.ndarray, points: np.ndarray, k: int, floor: float | None, p: float) -> None:
+        self.law, self.ratio = tree.law(points, p), 0.0
+        if tree.cells == 1 or len(points) <= k:
+            return
+        pick = np.random.default_rng(3).choice(len(points), min(PROBES, len(points)), replace=False)
+        s = vectors[pick] @ vectors.T
+        s[np.arange(len(pick)), pick] = -9
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        sims = np.take_along_axis(s, near, axis=1)
+        x, y = np.nonzero((sims >= (-2.0 if floor is None else floor)) & (sims < 1 - 1e-5))
+        if len(x) < LEAST_PAIRS:
+            return
+        c, at = tree.cell(points[near[x, y]]), points[pick[x]]
+        gap = np.maximum(0, np.maximum(tree.low[c] - at, at - tree.high[c]))
+        self.ratio = float(np.quantile((gap * gap).sum(axis=1) / (2 - 2 * sims[x, y]), p))
+
+    def __call__(self, similarity: np.ndarray | float) -> np.ndarray:
+        if not np.isfinite(self.law).all():
+            return np.full(np.shape(similarity), np.inf, np.float32)
+        return np.maximum(np.interp(similarity, LAW_AT, self.law), self.ratio * (2 - 2 * np.asarray(similarity))).astype(np.float32)
 
 
 def _route(tree: Tree, dims: int, far: float):
@@ -238,7 +265,7 @@ class Index:
         self.cls, self.k, self.floor = cls, k, floor
         p = vectors @ projection(vectors.shape[1])
         self.tree = Tree(p, -(-len(p) // leaf))
-        self.box, self.point = self.tree.law(p, box_p), chi_square(P, M)
+        self.reach, self.point = Reach(self.tree, vectors, p, k, floor, box_p), chi_square(P, M)
         place = self.tree.cell(p)
         order = np.argsort(place, kind="stable")
         self.leaves = np.split(order, np.searchsorted(place[order], np.arange(1, self.tree.cells)))
@@ -283,12 +310,12 @@ class Index:
         for leaf, at in enumerate(np.split(order, np.searchsorted(first[order], np.arange(1, self.tree.cells)))):
             self._meet(best, leaf, at, v, p, norm, cls)
         best.shrink()
-        limit = reach(self.box, best.kth)
+        limit = self.reach(best.kth)
         for leaf, at in self.tree.visits(p, limit):
             self._meet(best, leaf, at[first[at] != leaf], v, p, norm, cls)
             if best.held > best.k * len(v):
                 best.shrink()
-                limit[:] = reach(self.box, best.kth)
+                limit[:] = self.reach(best.kth)
         a, b, s = best.shrink()
         return cls[a], self.cls[b], s
 
@@ -367,12 +394,13 @@ def similar_vectors(df: DataFrame, id_column: str, vector: str, k: int = 10, flo
     cells = max(CELLS, -(-count // CELL_ROWS))
     every = max(1, count // SAMPLE)
     sample = rows.where(F.pmod("cls", F.lit(every)) == 0).groupBy("cls").agg(F.first("q").alias("q"), F.first("scale").alias("scale")).limit(4 * SAMPLE).toArrow().combine_chunks()
-    points = decode(sample["q"].combine_chunks(), sample["scale"].combine_chunks(), dims) @ projection(dims) if sample.num_rows else np.zeros((0, M), np.float32)
+    vectors = decode(sample["q"].combine_chunks(), sample["scale"].combine_chunks(), dims) if sample.num_rows else np.zeros((0, dims), np.float32)
+    points = vectors @ projection(dims)
     tree = Tree(points, cells)
 
     both = floor is not None and asks is None
     box_p = BOX_P_BOTH if both else BOX_P
-    far = float(reach(tree.law(points, box_p), floor)) if floor is not None else np.inf
+    far = float(Reach(tree, vectors, points, k, floor, box_p)(floor)) if floor is not None else np.inf
     sent = classes.mapInArrow(_route(tree, dims, far), "task int, home boolean, cls bigint, q binary, scale float, asks boolean")
     pairs = sent.repartitionById(cells, F.col("task")).sortWithinPartitions("task", F.desc("home")).mapInArrow(_verify(k, floor, dims, box_p, LEAF, BATCH), "cls bigint, other bigint, similarity double")
     if floor is not None:

@@ -79,9 +79,10 @@ def test_rows_of_several_tasks_in_one_partition():
 def test_far_cells_are_ruled_out():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((20_000, 64)).astype(np.float32)
-    p = x / np.linalg.norm(x, axis=1, keepdims=True) @ knn.projection(64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = x @ knn.projection(64)
     tree = knn.Tree(p, 512)
-    far = float(knn.reach(tree.law(p, knn.BOX_P_BOTH), 0.9))
+    far = float(knn.Reach(tree, x, p, 10, 0.9, knn.BOX_P_BOTH)(0.9))
     visited = sum(len(at) for _, at in tree.visits(p[:2000], np.full(2000, far, np.float32))) / (2000 * 512)
     assert visited < 0.15
     gap = np.maximum(0, np.maximum(tree.low - p[0], p[0] - tree.high))
