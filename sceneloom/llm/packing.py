@@ -7,10 +7,16 @@ whole containers: a crossover injects the best-filled containers of one parent i
 the other, drops the containers that would repeat an item, and best-fits the items
 that lost their place; a mutation empties the worst containers likewise.
 
+Before they are best-fitted, displaced items are swapped for smaller ones of open
+containers wherever that fills the container better.
+
 Items are spread at random over shards of a bounded number, which are problems of
-their own: packing needs many small items near each other, not all items of the
-corpus. Each shard is solved on several islands, which are different tasks with
-different seeds; between rounds each island passes its elite to the next.
+their own. Each shard is solved on several islands, which are different tasks with
+different seeds; between rounds each island passes its elite to the next. An island
+rests when its best solution meets a lower bound, or has not gained for a stated
+number of crossovers. What a shard can't fill well on its own, its worst containers,
+is pooled with that of other shards and packed again, until one shard is left; so
+sharding costs next to nothing.
 
 Defined results: a null text, and one without tokens, has size 0 and lies in some
 container all the same; rows without id are ignored, repeated ids count once; a
@@ -22,9 +28,9 @@ from __future__ import annotations
 
 import base64
 import random
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +41,10 @@ from ..runtime import checkpoint
 from .words import slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Items of a shard, islands, rounds, members of a population, crossovers of a round.
-SHARD, ISLANDS, ROUNDS, POPULATION, CROSSOVERS = 600, 2, 2, 4, 4
-#: Share of the containers that a mutation empties.
-EMPTIED = 0.08
+#: Items of a shard, islands, rounds, members of a population; an island rests after so many crossovers without gain.
+SHARD, ISLANDS, ROUNDS, POPULATION, PATIENCE = 600, 3, 2, 5, 10
+#: Share of the containers that a mutation empties, and the worst containers of a shard that are packed again with those of others.
+EMPTIED, POOLED = 0.08, 3
 
 
 @cache
@@ -114,6 +120,52 @@ def random_fill(sizes: list[int], capacity: int, rng: random.Random) -> list[lis
     return bins
 
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """A number of bins that no packing goes below: by the sum, and by the items that can't share a bin (Martello and Toth's second bound)."""
+    ordered = sorted(sizes)
+    total, n = [0], len(ordered)
+    for x in ordered:
+        total.append(total[-1] + x)
+    best = -(-total[-1] // capacity)
+    half = bisect_right(ordered, capacity // 2)
+    for small in sorted({0, *ordered[:half]}):
+        big = bisect_right(ordered, capacity - small)
+        first = bisect_left(ordered, small)
+        middle = (n - big) + (big - half)
+        spare = (big - half) * capacity - (total[big] - total[half])
+        best = max(best, middle + max(0, -(-((total[half] - total[first]) - spare) // capacity)))
+    return best
+
+
+def exchange(items: list[int], sizes: list[int], capacity: int, bins: list[list[int]], fills: list[int]) -> list[int]:
+    """Swap displaced items, the largest first, for smaller ones of a bin where that leaves least room; returns what is displaced then."""
+    waiting = sorted(items, key=sizes.__getitem__)
+    out = []
+    opened = [i for i, f in enumerate(fills) if f < capacity]
+    held = {i: sorted((sizes[x], x) for x in bins[i]) for i in opened}
+    while waiting:
+        item = waiting.pop()
+        size, best, gain = sizes[item], None, 0
+        for i in opened:
+            free = capacity - fills[i]
+            # the largest item of the bin that is smaller than this one and makes room for it
+            at = bisect_left(held[i], (size, -1)) - 1
+            low = bisect_left(held[i], (size - free, -1))
+            if 0 <= low <= at and size - held[i][low][0] > gain:
+                best, gain = (i, low), size - held[i][low][0]
+        if best is None:
+            out.append(item)
+            continue
+        i, at = best
+        _, gone = held[i].pop(at)
+        insort(held[i], (size, item))
+        bins[i].remove(gone)
+        bins[i].append(item)
+        fills[i] += gain
+        out.append(gone)
+    return out
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """The well-filled bins of b go into a as they are; bins of a with an item of theirs go, their other items are refitted."""
     fill = {i: sum(map(sizes.__getitem__, x)) for i, x in enumerate(b)}
@@ -126,8 +178,12 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
             kept.append(bin_[:])
         else:
             displaced += [x for x in bin_ if x not in taken]
-    bins = [x[:] for x in inject] + kept
-    best_fit(displaced, sizes, capacity, bins, [sum(map(sizes.__getitem__, x)) for x in bins])
+    return _refit([x[:] for x in inject] + kept, displaced, sizes, capacity)
+
+
+def _refit(bins: list[list[int]], displaced: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    fills = [sum(map(sizes.__getitem__, x)) for x in bins]
+    best_fit(exchange(displaced, sizes, capacity, bins, fills), sizes, capacity, bins, fills)
     return bins
 
 
@@ -136,34 +192,33 @@ def mutate(a: list[list[int]], sizes: list[int], capacity: int, rng: random.Rand
     fill = [sum(map(sizes.__getitem__, x)) for x in a]
     worst = sorted(range(len(a)), key=lambda i: (fill[i], i))[: max(1, int(len(a) * EMPTIED))]
     out = set(worst) | {rng.randrange(len(a)) for _ in worst}
-    bins = [x[:] for i, x in enumerate(a) if i not in out]
-    best_fit([x for i in out for x in a[i]], sizes, capacity, bins, [fill[i] for i in range(len(a)) if i not in out])
-    return bins
+    return _refit([x[:] for i, x in enumerate(a) if i not in out], [x for i in sorted(out) for x in a[i]], sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], crossovers: int = CROSSOVERS, population: int = POPULATION) -> list[list[int]]:
+def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], patience: int = PATIENCE, population: int = POPULATION) -> list[list[int]]:
     """The best solution that an island reaches from the elites it was given."""
     rng = random.Random(seed)
     if not sizes:
         return []
-    least = -(-sum(sizes) // capacity)
+    least = max(1, lower_bound(sizes, capacity))
     pool = [_solution(x, sizes, capacity) for x in elites]
     if not pool:
         bins: list[list[int]] = []
         best_fit(list(range(len(sizes))), sizes, capacity, bins, [])
         pool = [_solution(bins, sizes, capacity)]
-    while len(pool) < population:
-        pool.append(_solution(random_fill(sizes, capacity, rng), sizes, capacity))
-    pool.sort(key=lambda x: (len(x[1]), -x[0]))
-    for _ in range(crossovers):
-        if len(pool[0][1]) <= max(least, 1) and pool[0][0] > 0.999:
-            break
+    order = lambda x: (len(x[1]), -x[0])
+    pool.sort(key=order)
+    idle = 0
+    while idle < patience and len(pool[0][1]) > least:
+        while len(pool) < population:
+            pool.append(_solution(random_fill(sizes, capacity, rng), sizes, capacity))
+        before = order(pool[0])
         i, j = sorted(rng.sample(range(len(pool)), 2))
-        child = crossover(pool[j][1], pool[i][1], sizes, capacity, rng)
-        pool.append(_solution(child, sizes, capacity))
+        pool.append(_solution(crossover(pool[j][1], pool[i][1], sizes, capacity, rng), sizes, capacity))
         pool.append(_solution(mutate(pool[0][1], sizes, capacity, rng), sizes, capacity))
-        pool.sort(key=lambda x: (len(x[1]), -x[0]))
+        pool.sort(key=order)
         del pool[population:]
+        idle = 0 if order(pool[0]) < before else idle + 1
     return pool[0][1]
 
 
@@ -184,14 +239,14 @@ def _bins(flat: np.ndarray) -> list[list[int]]:
 _STATE = "kind string, capacity bigint, shard bigint, island int, items array<struct<doc_id:bigint,piece:bigint,size:bigint>>, elites array<array<int>>"
 
 
-def _island(round_: int):
+def _island(round_: int, plain: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = []
             for capacity, shard, island, items, elites in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("capacity", "shard", "island", "items", "elites"))):
                 sizes = [x["size"] for x in items]
                 seed = hash((capacity, shard, island, round_))
-                best.append([_flat(evolve(sizes, capacity, seed, [_bins(np.array(e)) for e in elites or []]), len(sizes)).tolist()])
+                best.append([_flat(evolve(sizes, capacity, seed, [_bins(np.array(e)) for e in elites or []], 0 if plain else PATIENCE), len(sizes)).tolist()])
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)} | {"elites": pa.array(best, pa.list_(pa.list_(pa.int32())))}
             yield pa.RecordBatch.from_arrays([columns[n] for n in batch.schema.names], names=batch.schema.names)
 
@@ -213,30 +268,49 @@ def pieces(counts: DataFrame, capacities: DataFrame) -> DataFrame:
     return cut.select("kind", "capacity", "doc_id", "piece", start.alias("token_start"), F.least(F.col("capacity"), F.col("n_tokens") - start).alias("size"))
 
 
-def fill_containers(documents: DataFrame, capacities: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER, shard_items: int = SHARD) -> DataFrame:
-    """(container_kind, container_id, doc_id, piece_no, token_start, n_tokens): every text of every kind of container."""
-    counts = checkpoint(token_counts(documents, doc_id, text, path))
-    shards = max(1, -(-counts.count() // shard_items))
-    cut = pieces(counts, capacities)
-    full = F.col("size") == F.col("capacity")
-    whole = cut.where(full).select(
-        F.col("kind").alias("container_kind"), F.concat_ws("-", "kind", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", F.col("piece").alias("piece_no"), "token_start", F.col("size").alias("n_tokens")
-    )
-    items = cut.where(~full).withColumn("shard", F.pmod(F.xxhash64("doc_id", "kind"), F.lit(shards)))
-    problems = items.groupBy("kind", "capacity", "shard").agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece", "size"))).alias("items"))
-    state = problems.select("kind", "capacity", "shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "items", F.array().cast("array<array<int>>").alias("elites"))
-    for r in range(ROUNDS):
+def _solved(items: DataFrame, shards: int, level: int, plain: bool) -> DataFrame:
+    """(kind, capacity, shard, bin, items, fill, place): the containers of every shard of items (kind, capacity, doc_id, piece, size), place counting from the worst-filled."""
+    cut = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "kind", F.lit(level)), F.lit(shards)))
+    problems = cut.groupBy("kind", "capacity", "shard").agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece", "size"))).alias("items"))
+    islands, rounds = (1, 1) if plain else (ISLANDS, ROUNDS)
+    state = problems.select("kind", "capacity", "shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "items", F.array().cast("array<array<int>>").alias("elites"))
+    for r in range(rounds):
         spread = state.repartition("kind", "shard", "island") if r == 0 else state
-        state = spread.mapInArrow(_island(r), _STATE)
-        if r + 1 < ROUNDS:
+        state = spread.mapInArrow(_island(r, plain), _STATE)
+        if r + 1 < rounds:
             # migration: the elite of an island joins that of the next one in the ring
             on = Window.partitionBy("kind", "shard")
             elite = F.col("elites")[0]
-            ring = F.map_from_entries(F.collect_list(F.struct(F.pmod(F.col("island") + 1, F.lit(ISLANDS)), elite)).over(on))
+            ring = F.map_from_entries(F.collect_list(F.struct(F.pmod(F.col("island") + 1, F.lit(islands)), elite)).over(on))
             state = state.withColumn("elites", F.array(elite, F.element_at(ring, F.col("island"))))
-    last = state.groupBy("kind", "capacity", "shard").agg(F.min(F.struct(F.array_max(F.col("elites")[0]).alias("bins"), "island", F.col("elites")[0].alias("bin"), "items")).alias("best"))
-    start = F.col("x.items.piece") * F.col("capacity")
-    packed = last.select("kind", "capacity", "shard", F.explode(F.arrays_zip("best.bin", "best.items")).alias("x")).select(
-        F.col("kind").alias("container_kind"), F.concat_ws("-", "kind", "shard", "x.bin").alias("container_id"), F.col("x.items.doc_id").alias("doc_id"), F.col("x.items.piece").alias("piece_no"), start.alias("token_start"), F.col("x.items.size").alias("n_tokens")
+    best = state.groupBy("kind", "capacity", "shard").agg(F.min(F.struct(F.array_max(F.col("elites")[0]).alias("bins"), "island", F.col("elites")[0].alias("bin"), "items")).alias("best"))
+    each = best.select("kind", "capacity", "shard", F.explode(F.arrays_zip("best.bin", "best.items")).alias("x"))
+    bins = each.groupBy("kind", "capacity", "shard", F.col("x.bin").alias("bin")).agg(F.collect_list("x.items").alias("items"), F.sum("x.items.size").alias("fill"))
+    return bins.withColumn("place", F.row_number().over(Window.partitionBy("kind", "shard").orderBy("fill", "bin")))
+
+
+def fill_containers(documents: DataFrame, capacities: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER, shard_items: int = SHARD, plain: bool = False) -> DataFrame:
+    """(container_kind, container_id, doc_id, piece_no, token_start, n_tokens): every text of every kind of container.
+
+    ``plain``: best fit of each shard only, to compare with.
+    """
+    counts = checkpoint(token_counts(documents, doc_id, text, path))
+    cut = pieces(counts, capacities)
+    full = F.col("size") == F.col("capacity")
+    whole = cut.where(full).select(
+        F.col("kind").alias("container_kind"), F.concat_ws("-", "kind", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", F.col("piece").alias("piece_no"), "token_start", F.col("size").alias("n_tokens")
     )
-    return whole.unionByName(packed)
+    items, out, level = cut.where(~full).select("kind", "capacity", "doc_id", "piece", "size"), [whole], 0
+    shards = max(1, -(-counts.count() // shard_items))
+    while True:
+        bins = checkpoint(_solved(items, shards, level, plain))
+        again = (F.col("place") <= POOLED) if shards > 1 and not plain else F.lit(False)
+        done = bins.where(~again).select("kind", "capacity", F.concat_ws("-", "kind", F.lit(level), "shard", "bin").alias("container_id"), F.explode("items").alias("x"))
+        out.append(done.select(F.col("kind").alias("container_kind"), "container_id", "x.doc_id", F.col("x.piece").alias("piece_no"), (F.col("x.piece") * F.col("capacity")).alias("token_start"), F.col("x.size").alias("n_tokens")))
+        if shards == 1 or plain:
+            break
+        items = bins.where(again).select("kind", "capacity", F.explode("items").alias("x")).select("kind", "capacity", "x.*")
+        left = items.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+        # each level has fewer shards, the last one
+        shards, level = max(1, min(-(-left // shard_items), shards // 2)), level + 1
+    return reduce(DataFrame.unionByName, out)

@@ -84,15 +84,19 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Containers of each kind, how full they are, and how many there must be at least."""
-    fill = p6_containers(spark, d).groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"))
+    """Containers of each kind, how full they are, how many plain best fit of the shards takes, and how many there must be at least."""
+
+    def used(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"))
+
+    plain = used(packing.fill_containers(table(spark, d, "documents"), table(spark, d, "container_sizes"), plain=True)).groupBy("container_kind").agg(F.count(F.lit(1)).alias("best_fit"))
     sizes = table(spark, d, "container_sizes").groupBy("container_kind").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
     return (
-        fill.groupBy("container_kind")
+        used(p6_containers(spark, d)).groupBy("container_kind")
         .agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
-        .join(sizes, "container_kind")
-        .select("container_kind", "capacity", "containers", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), F.round(F.col("tokens") / F.col("containers") / F.col("capacity"), 4).alias("filled"))
-    )
+        .join(sizes, "container_kind").join(plain, "container_kind")
+        .select("container_kind", "capacity", "containers", "best_fit", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), F.round(F.col("tokens") / F.col("containers") / F.col("capacity"), 4).alias("filled"))
+    )
 
 
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
