@@ -31,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import HOT_ROWS, join_salted
+from ..runtime import checkpoint
 from .words import mix, rolling, shingles, slices, word_text, words
 
 WINDOW, SHINGLE = 10, 5
 #: Documents of up to so many words have sketches of so many rows.
 PARTITIONS = ((4096, 1), (1 << 62, 2))
+#: Parts that the items found in one document are verified in.
+ITEM_PARTS = 16
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -131,8 +135,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     return docs.mapInArrow(run, "doc_id bigint, item_id bigint").distinct()
 
 
-def _joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """The same by a join of sketches: pairs that share one are verified with both texts at hand."""
+def _joined(docs: DataFrame, items: DataFrame, window: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same by a join of sketches, in which phrases that very many documents hold are split; pairs that share one are verified by their texts."""
 
     def sketched(every: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,16 +152,21 @@ def _joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, dt, i, it in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                _, _, chars, _ = words([dt])
-                whole = word_text(chars)
-                if any(g in whole for g in Items([i], [it], window).grams(0)):
-                    out.append((d, i))
+            for d, text, asked in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                wanted = Items([x["item_id"] for x in asked], [x["item"] for x in asked], window)
+                whole = word_text(words([text])[2])
+                out += [(d, int(i)) for n, i in enumerate(wanted.ids) if any(g in whole for g in wanted.grams(n))]
             d, i = zip(*out) if out else ([], [])
             yield pa.record_batch([pa.array(d, pa.int64()), pa.array(i, pa.int64())], names=["doc_id", "item_id"])
 
-    a = docs.mapInArrow(sketched(False), "id bigint, rows int, sketch bigint").withColumnRenamed("id", "doc_id")
+    a = checkpoint(docs.mapInArrow(sketched(False), "id bigint, rows int, sketch bigint").withColumnRenamed("id", "doc_id"))
     b = items.mapInArrow(sketched(True), "id bigint, rows int, sketch bigint").withColumnRenamed("id", "item_id").distinct()
-    pairs = a.join(b, ["rows", "sketch"]).select("doc_id", "item_id").distinct()
-    full = pairs.join(docs.where("doc_id is not null"), "doc_id").withColumnRenamed("text", "dt").join(items.withColumnRenamed("text", "it"), "item_id").select("doc_id", "dt", "item_id", "it")
+    pairs = join_salted(a, b, ["rows", "sketch"], hot_rows=hot_rows).select("doc_id", "item_id").distinct()
+    # items are short: they travel to the documents, whose texts are moved once for all items of a part
+    asked = (
+        pairs.join(items.withColumnRenamed("text", "item"), "item_id")
+        .groupBy("doc_id", F.pmod(F.xxhash64("item_id"), F.lit(ITEM_PARTS)).alias("part"))
+        .agg(F.collect_list(F.struct("item_id", "item")).alias("asked"))
+    )
+    full = asked.join(docs.where("doc_id is not null and text is not null"), "doc_id").select("doc_id", "text", "asked")
     return full.mapInArrow(verify, "doc_id bigint, item_id bigint").distinct()

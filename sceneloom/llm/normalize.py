@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import HOT_ROWS, join_salted
+from ..runtime import checkpoint
 from .charmap import LOOKALIKES, table
 
 
@@ -89,18 +91,27 @@ def with_form(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
 
 
-def same_look(left: DataFrame, left_key: str, right: DataFrame, right_key: str, text: str = "text") -> DataFrame:
+#: Different forms of the left side up to which they are broadcast (16 bytes each).
+FEW_FORMS = 500_000
+
+
+def same_look(left: DataFrame, left_key: str, right: DataFrame, right_key: str, text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(left_key, right_key): the pairs of which some texts look the same but are not the same characters.
 
-    Only hashes of the texts (128 bits of each form, 64 of the text) are moved. The rows of the right side
-    that share no form with the left are dropped by a semi-join before pairs are made; a form that very
-    many rows carry is the skewed side of one equi-join, which adaptive execution splits.
+    Only hashes of the texts (128 bits of each form, 64 of the text) are moved. Rows of the right side that share no
+    form with the left are dropped by a semi-join, before they are made distinct or moved, if the left's forms are
+    few enough to be broadcast; pairs are made of the rows that are left, and a form that very many of them carry is
+    split (see ``skew``).
     """
 
     def hashed(df: DataFrame, key: str) -> DataFrame:
         rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-        return with_form(rows, "t", "f").where("f <> ''").select("k", F.xxhash64("f").alias("f1"), F.xxhash64(F.lit(1), "f").alias("f2"), F.xxhash64("t").alias("h")).distinct()
-
-    a = hashed(left, left_key).withColumnRenamed("k", left_key)
-    b = hashed(right, right_key).select(F.col("k").alias("__right"), "f1", "f2", F.col("h").alias("h2"))
-    return a.join(b, ["f1", "f2"]).where("h <> h2").select(left_key, F.col("__right").alias(right_key)).distinct()
+        return with_form(rows, "t", "f").where("f <> ''").select("k", F.xxhash64("f").alias("f1"), F.xxhash64(F.lit(1), "f").alias("f2"), F.xxhash64("t").alias("h"))
+
+    a = checkpoint(hashed(left, left_key).distinct())
+    forms = a.select("f1", "f2").distinct()
+    if forms.count() <= FEW_FORMS:
+        forms = F.broadcast(forms)
+    b = checkpoint(hashed(right, right_key).join(forms, ["f1", "f2"], "left_semi").distinct())
+    met = join_salted(b.select(F.col("k").alias("__right"), "f1", "f2", F.col("h").alias("h2")), a.withColumnRenamed("k", left_key), ["f1", "f2"], hot_rows=hot_rows)
+    return met.where("h <> h2").select(left_key, F.col("__right").alias(right_key)).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import knn, leakage, normalize, packing, readability
+from . import charmap, knn, leakage, normalize, packing, readability
 
 
 def _captions(spark: SparkSession, d: str) -> DataFrame:
@@ -37,12 +37,24 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p7_found, p7_items)}
 
-_FORMS = f"""
-WITH q AS (SELECT DISTINCT query_id, query AS text, {normalize.form_sql("query")} AS form FROM kis_queries WHERE query IS NOT NULL),
-t AS (SELECT keyframe_id, unnest(captions).text AS text FROM keyframes),
-c AS (SELECT DISTINCT keyframe_id, text, {normalize.form_sql("text")} AS form FROM t WHERE text IS NOT NULL)
+def _forms_sql() -> str:
+    """The forms once more, in another way than the operator's: texts as rows of characters, joined with the table of characters."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    chars = ", ".join(f"({quoted(c)}, {quoted(to)})" for c, to in charmap.table().items())
+    return f"""
+WITH m(c, becomes) AS (VALUES {chars}),
+src AS (SELECT DISTINCT 'q' AS side, query_id AS k, query AS text FROM kis_queries WHERE query IS NOT NULL UNION SELECT 'c', keyframe_id, text FROM (SELECT keyframe_id, unnest(captions).text AS text FROM keyframes) WHERE text IS NOT NULL),
+texts AS (SELECT DISTINCT text FROM src),
+letters AS (SELECT text, unnest(range(1, length(text) + 1)) AS i, unnest(regexp_extract_all(text, '(?s).')) AS c FROM texts),
+formed AS (SELECT text, nfc_normalize(string_agg(coalesce(becomes, c), '' ORDER BY i)) AS form FROM letters LEFT JOIN m USING (c) GROUP BY 1),
+f AS (SELECT side, k, text, coalesce(form, '') AS form FROM src LEFT JOIN formed USING (text)),
+q AS (SELECT k AS query_id, text, form FROM f WHERE side = 'q'), c AS (SELECT k AS keyframe_id, text, form FROM f WHERE side = 'c')
 """
 
+
+_FORMS = _forms_sql()
+_WORDS_P7 = r"list_filter(string_split(trim(regexp_replace(replace(replace(lower(strip_accents(nfc_normalize(form))), 'đ', 'd'), 'ß', 'ss'), '[^\p{L}\p{Nd}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
 ORACLE = {
     "p2_found": _FORMS + "SELECT DISTINCT query_id, keyframe_id FROM q JOIN c USING (form) WHERE q.text <> c.text AND form <> ''",
     "p2_forms": _FORMS
@@ -50,6 +62,28 @@ ORACLE = {
 }
 
 
+def _leaks_sql() -> str:
+    """Every run of ten words of every document, against those of the items."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    chars = ", ".join(f"({quoted(c)}, {quoted(to)})" for c, to in charmap.table().items())
+    runs = "SELECT DISTINCT k, array_to_string(list_slice(w, i, i + 9), ' ') AS run FROM (SELECT k, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT k, {w} AS w FROM {t}))"
+    return f"""
+WITH m(c, becomes) AS (VALUES {chars}),
+src AS (SELECT 'd' AS side, doc_id AS k, text FROM documents WHERE text IS NOT NULL UNION SELECT 'i', item_id, text FROM eval_items WHERE text IS NOT NULL),
+odd AS (SELECT side, k, string_split(text, ' ') AS p FROM src),
+words AS (SELECT DISTINCT unnest(p) AS w FROM odd),
+mapped AS (SELECT w, string_agg(coalesce(becomes, c), '' ORDER BY i) AS f FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i, unnest(regexp_extract_all(w, '(?s).')) AS c FROM words) LEFT JOIN m USING (c) GROUP BY 1),
+parts AS (SELECT side, k, unnest(p) AS w, unnest(range(len(p))) AS n FROM odd),
+texts AS (SELECT side, k, string_agg(coalesce(f, ''), ' ' ORDER BY n) AS form FROM parts LEFT JOIN mapped USING (w) GROUP BY 1, 2),
+d AS ({runs.format(w=_WORDS_P7, t="texts WHERE side = 'd'")}), i AS ({runs.format(w=_WORDS_P7, t="texts WHERE side = 'i'")}),
+found AS (SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM d JOIN i USING (run))
+"""
+
+
+ORACLE["p7_found"] = _leaks_sql() + "SELECT doc_id, item_id FROM found"
+ORACLE["p7_items"] = _leaks_sql() + "SELECT item_id, task, count(*) AS documents FROM found JOIN (SELECT DISTINCT item_id, task FROM eval_items) USING (item_id) GROUP BY 1, 2"
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scene_index").select(F.col("payload.scene_id").alias("scene_id"), "vector", "loaded_at")
 

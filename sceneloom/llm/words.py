@@ -66,6 +66,12 @@ def fold_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return folded[keep], starts
 
 
+def hash_runs(chars: np.ndarray, place: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of each run of characters, given the place of each in its run and where runs start."""
+    power = np.cumprod(np.full(int(place.max()) + 1, _B, np.uint64), dtype=np.uint64)
+    return mix(np.add.reduceat(mix((chars.astype(np.uint64) + np.uint64(1)) * _A) * power[place], starts))
+
+
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, the number of its text, and the folded code points with the starts of the texts."""
     chars, starts = fold_texts(texts)
@@ -78,9 +84,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     at = np.flatnonzero(letter)
     word = np.cumsum(first)[at] - 1
     place = at - begin[word]
-    power = np.cumprod(np.full(int(place.max()) + 1, _B, np.uint64), dtype=np.uint64)
-    value = mix((chars[at].astype(np.uint64) + np.uint64(1)) * _A) * power[place]
-    hashes = mix(np.add.reduceat(value, np.searchsorted(at, begin)))
+    hashes = hash_runs(chars[at], place, np.searchsorted(at, begin))
     return hashes, np.searchsorted(starts, begin, side="right") - 1, chars, starts
 
 

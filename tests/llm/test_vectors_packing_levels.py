@@ -184,3 +184,32 @@ def test_levels_without_labels_and_texts(spark):
     labels = spark.createDataFrame([], "doc_id long, reading_level int, rater_id string")
     got = {r.doc_id: r.level for r in readability.reading_levels(docs, labels).collect()}
     assert got == {1: None, 2: None, 3: 1}
+
+
+def test_lower_bound_and_exchange():
+    assert packing.lower_bound([], 10) == 0 and packing.lower_bound([6, 6, 6], 10) == 3 and packing.lower_bound([5, 5, 5], 10) == 2
+    assert packing.lower_bound([6, 6, 5, 4, 4], 10) == 3
+    sizes, bins, fills = [3, 5, 9, 4], [[0, 1], [3]], [8, 4]
+    # 4 leaves room for 9 in the second bin, which gains 5
+    assert packing.exchange([2], sizes, 10, bins, fills) == [3] and bins == [[0, 1], [2]] and fills == [8, 9]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 99), min_size=1, max_size=40), st.integers(0, 3))
+def test_evolution_never_loses_to_best_fit(sizes, seed):
+    plain: list[list[int]] = []
+    packing.best_fit(list(range(len(sizes))), sizes, 100, plain, [])
+    bins = packing.evolve(sizes, 100, seed, [])
+    assert packing.lower_bound(sizes, 100) <= len(bins) <= len(plain)
+    assert sorted(x for b in bins for x in b) == list(range(len(sizes))) and max(sum(sizes[x] for x in b) for b in bins) <= 100
+
+
+def test_evolution_beats_best_fit_where_it_can():
+    # best fit decreasing needs three bins of 12: 6 4, 4 3 3, 2 2; two hold all: 6 4 2 and 4 3 3 2
+    sizes = [6, 4, 4, 3, 3, 2, 2]
+    assert len(packing.evolve(sizes, 12, 1, [])) == 2
+
+
+@pytest.mark.parametrize("word, count", [("science", 2), ("idea", 3), ("nation", 2), ("table", 2), ("lovely", 2), ("guide", 1), ("wanted", 2), ("hypothesis", 4), ("quiet", 2), ("statement", 2)])
+def test_syllables_by_patterns(word, count):
+    assert readability.word_syllables(word) == count
