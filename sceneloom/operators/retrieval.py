@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..runtime import checkpoint
 
 K1, B = 1.5, 0.75
 DIGITS = 6
@@ -46,39 +50,151 @@ def bm25(docs: DataFrame, doc_id: str, words: Column, queries: DataFrame, query_
     return index.join(weighted, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
 
 
-def cosine_search(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 16) -> DataFrame:
-    """(query_id, doc_id, score, rank): exact cosine of a stated query set (query_id, vector) against all rows (doc_id, vector).
+#: Different (query, word) pairs up to which queries are sent to the documents; bytes of a block of query vectors.
+MOST_ASKED, BLOCK_BYTES = 2_000_000, 64 << 20
+
+
+class _Lists:
+    """The best k of each query from parts that come in any order; ties at the border stay, so that a merge can order them by id."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.parts, self.held, self.pruned = k, [], 0, 0
+
+    def add(self, q, d: pa.Array, s) -> None:
+        self.parts.append((q, d, s))
+        self.held += len(q)
+        if self.held > 100_000 + 4 * self.pruned:
+            self.prune()
+            self.pruned = self.held
+
+    def prune(self):
+        import numpy as np
 
-    The queries are cut into blocks; every block meets all rows as one matrix product per batch of rows,
-    and only each batch's best k go on to the merge.
+        if not self.parts:
+            return None
+        q, s = (np.concatenate([p[i] for p in self.parts]) for i in (0, 2))
+        d = pa.concat_arrays([p[1] for p in self.parts])
+        order = np.lexsort((-s, q))
+        q, s = q[order], s[order]
+        first = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1]) if len(q) else np.zeros(0, int)
+        size = np.diff(np.append(first, len(q)))
+        border = s[np.minimum(first + self.k, first + size) - 1]
+        keep = s >= np.repeat(border, size)
+        self.parts, self.held = [(q[keep], d.take(pa.array(order[keep])), s[keep])], int(keep.sum())
+        return self.parts[0]
+
+
+def bm25_top(docs: DataFrame, doc_id: str, words: Column, queries: DataFrame, query_words: Column, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score, rank): the first k documents of each query by ``bm25``.
+
+    The queries are a stated set: their words (if there are at most ``MOST_ASKED``, else lists are joined) are sent
+    to the documents, which stay where they lie. A batch of documents is scored as one matrix, so a word that very
+    many documents and queries hold costs a matrix addition and no shuffle; a task passes on its best k per query.
+    ``docs`` is written once, as counts and scores both read it.
     """
-    import numpy as np
-    import pyarrow as pa
+    asked = queries.select(F.col("query_id").alias("query_id"), F.explode(query_words).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    few = asked.limit(MOST_ASKED + 1).toArrow()
+    if few.num_rows > MOST_ASKED:
+        return top_k(bm25(docs, doc_id, words, queries, query_words, k1, b), k)
+    sized = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), words.alias("w")))
+    n, total = sized.agg(F.count(F.lit(1)), F.sum(F.size("w"))).first()
+    mean = max((total or 0) / max(n, 1), 1e-9)
+    tokens = pa.compute.unique(few["token"].combine_chunks())
+    known = docs.sparkSession.createDataFrame(pa.table({"token": tokens})) if len(tokens) else None
+    if known is None:
+        return top_k(sized.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "doc_id", F.lit(0.0).alias("score")).where("false"), k)
+    df = sized.select(F.explode(F.array_distinct("w")).alias("token")).join(F.broadcast(known), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((few.combine_chunks(), df.combine_chunks()))
+    qtype, dtype = queries.schema["query_id"].dataType, sized.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        few, df = sent.value
+        frequency = dict(zip(df["token"].to_pylist(), df["df"].to_pylist()))
+        ids = pa.compute.unique(few["query_id"].combine_chunks())
+        at = {q: i for i, q in enumerate(ids.to_pylist())}
+        held: dict[str, list] = {}
+        for q, t, times in zip(few["query_id"].to_pylist(), few["token"].to_pylist(), few["times"].to_pylist()):
+            if t in frequency:
+                held.setdefault(t, []).append((at[q], times * np.log1p((n - frequency[t] + 0.5) / (frequency[t] + 0.5))))
+        place = {t: i for i, t in enumerate(held)}
+        who = [np.array([q for q, _ in x]) for x in held.values()]
+        weight = [np.array([w for _, w in x]) for x in held.values()]
+        best, rows = _Lists(k), max(64, min(4096, 32_000_000 // max(len(ids), 1)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                lists = part.column(1)
+                sizes = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+                code = np.fromiter((place.get(t, -1) for t in pa.compute.list_flatten(lists).to_pylist()), np.int64)
+                doc = np.repeat(np.arange(part.num_rows), sizes)[code >= 0]
+                pairs, tf = np.unique(code[code >= 0] * part.num_rows + doc, return_counts=True)
+                if not len(pairs):
+                    continue
+                code, doc = np.divmod(pairs, part.num_rows)
+                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / mean))
+                scores = np.zeros((len(ids), part.num_rows))
+                edges = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code))
+                for x, y in zip(edges, edges[1:]):
+                    c = code[x]
+                    scores[who[c][:, None], doc[x:y]] += weight[c][:, None] * gain[x:y]
+                scores = np.round(scores, DIGITS)
+                few_best = min(k, part.num_rows)
+                border = -np.partition(-scores, few_best - 1, axis=1)[:, few_best - 1 : few_best]
+                q, d = np.nonzero((scores >= border) & (scores > 0))
+                best.add(q, part.column(0).take(pa.array(d)), scores[q, d])
+        if (out := best.prune()) is not None:
+            q, d, s = out
+            yield pa.record_batch([ids.take(pa.array(q)), d, pa.array(s)], names=["query_id", "doc_id", "score"])
+
+    schema = f"query_id {qtype.simpleString()}, doc_id {dtype.simpleString()}, score double"
+    return top_k(sized.mapInArrow(run, schema), k)
 
-    cut = queries.select("query_id", V.unit(F.col("vector")).alias("qv")).where("qv is not null").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    packed = cut.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv")).alias("queries"))
+
+def cosine_search(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, doc_id, score, rank): exact cosine of a stated query set (query_id, vector) against all rows (doc_id, vector).
+
+    The queries are cut into blocks of a bounded size, each of which is sent to the rows. A batch of rows meets a
+    block as one matrix product; a task passes on its best k per query.
+    """
+    cut = checkpoint(queries.select("query_id", V.unit(F.col("vector")).alias("qv")).where("qv is not null"))
     rows = vectors.select("doc_id", V.unit(F.col("vector")).alias("v")).where("v is not null")
-    per_block = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "doc_id", "v")
+    size = cut.agg(F.sum(F.size("qv") * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
     qtype, dtype = cut.schema["query_id"].dataType, rows.schema["doc_id"].dataType
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], out["query_id"]), "doc_id": pa.array([], out["doc_id"]), "score": pa.array([], pa.float64())})
-        asked = left["queries"].combine_chunks().flatten() if left.num_rows else None
-        q = np.array(asked.field("qv").to_pylist())
-        d = np.array(right["v"].to_pylist())
-        s = np.round(q @ d.T, DIGITS)
-        keep = min(k, s.shape[1])
-        # ties at the border are kept, so that the merge can order them by id
-        border = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
-        qi, di = np.nonzero(s >= border)
-        return pa.table({"query_id": asked.field("query_id").take(pa.array(qi)), "doc_id": right["doc_id"].combine_chunks().take(pa.array(di)), "score": s[qi, di]})
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out = {"query_id": to_arrow_type(qtype), "doc_id": to_arrow_type(dtype)}
     schema = f"query_id {qtype.simpleString()}, doc_id {dtype.simpleString()}, score double"
-    return top_k(packed.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(score, schema), k)
+
+    def against(block: int) -> DataFrame:
+        sent = cut.sparkSession.sparkContext.broadcast(cut.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            asked = sent.value
+            if not asked.num_rows:
+                return
+            ids = asked["query_id"].combine_chunks()
+            q = pa.compute.list_flatten(asked["qv"].combine_chunks()).to_numpy(zero_copy_only=False).reshape(asked.num_rows, -1)
+            best = _Lists(k)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 4096):
+                    part = batch.slice(start, 4096)
+                    use = np.flatnonzero(pa.compute.list_value_length(part.column(1)).to_numpy(zero_copy_only=False) == q.shape[1])
+                    if not len(use):
+                        continue
+                    part = part.take(pa.array(use))
+                    s = np.round(q @ pa.compute.list_flatten(part.column(1)).to_numpy(zero_copy_only=False).reshape(len(use), -1).T, DIGITS)
+                    few = min(k, len(use))
+                    x, y = np.nonzero(s >= -np.partition(-s, few - 1, axis=1)[:, few - 1 : few])
+                    best.add(x, part.column(0).take(pa.array(y)), s[x, y])
+            if (out := best.prune()) is not None:
+                x, d, s = out
+                yield pa.record_batch([ids.take(pa.array(x)), d, pa.array(s)], names=["query_id", "doc_id", "score"])
+
+        return rows.mapInArrow(run, schema)
+
+    return top_k(reduce(DataFrame.unionByName, map(against, range(blocks))), k)
 
 
 def tag_overlap(queries: DataFrame, docs: DataFrame, doc_id: str = "doc_id", tags: str = "tags") -> DataFrame:
@@ -98,9 +214,58 @@ def trigram_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return asked.join(held, "gram").groupBy("query_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.max("n"), DIGITS).alias("score"))
 
 
+def trigram_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the first k of ``trigram_overlap``, without its pairs: queries are sent to the documents (see ``bm25_top``)."""
+    asked = queries.select("query_id", F.explode(T.trigrams(F.col("text"))).alias("gram")).limit(MOST_ASKED + 1).toArrow()
+    if asked.num_rows > MOST_ASKED:
+        return top_k(trigram_overlap(queries, docs), k)
+    sent = queries.sparkSession.sparkContext.broadcast(asked.combine_chunks())
+    qtype, dtype = queries.schema["query_id"].dataType, docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        asked = sent.value
+        if not asked.num_rows:
+            return
+        ids = pa.compute.unique(asked["query_id"].combine_chunks())
+        at = {q: i for i, q in enumerate(ids.to_pylist())}
+        grams: dict[str, list[int]] = {}
+        n = np.zeros(len(ids))
+        for q, g in zip(asked["query_id"].to_pylist(), asked["gram"].to_pylist()):
+            grams.setdefault(g, []).append(at[q])
+            n[at[q]] += 1
+        who = [np.array(x) for x in grams.values()]
+        place = {g: i for i, g in enumerate(grams)}
+        best, rows = _Lists(k), max(64, min(4096, 32_000_000 // max(len(ids), 1)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                sizes = np.nan_to_num(pa.compute.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)).astype(np.int64)
+                code = np.fromiter((place.get(g, -1) for g in pa.compute.list_flatten(part.column(1)).to_pylist()), np.int64)
+                doc = np.repeat(np.arange(part.num_rows), sizes)[code >= 0]
+                code = code[code >= 0]
+                order = np.argsort(code, kind="stable")
+                code, doc = code[order], doc[order]
+                shared = np.zeros((len(ids), part.num_rows))
+                edges = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code)) if len(code) else np.zeros(0, int)
+                for x, y in zip(edges, edges[1:]):
+                    shared[who[code[x]][:, None], doc[x:y]] += 1
+                scores = np.round(shared / n[:, None], DIGITS)
+                few = min(k, part.num_rows)
+                q, d = np.nonzero((scores >= -np.partition(-scores, few - 1, axis=1)[:, few - 1 : few]) & (scores > 0))
+                best.add(q, part.column(0).take(pa.array(d)), scores[q, d])
+        if (out := best.prune()) is not None:
+            q, d, s = out
+            yield pa.record_batch([ids.take(pa.array(q)), d, pa.array(s)], names=["query_id", "doc_id", "score"])
+
+    schema = f"query_id {qtype.simpleString()}, doc_id {dtype.simpleString()}, score double"
+    return top_k(docs.select("doc_id", T.trigrams(F.col("text")).alias("g")).mapInArrow(run, schema), k)
+
+
 def fuzzy_search(queries: DataFrame, docs: DataFrame, shortlist: int, k: int, least: float = 0.35) -> DataFrame:
     """(query_id, doc_id, score, rank): the shortlist by trigrams, reordered by sequence matching of normalized texts."""
-    short = top_k(trigram_overlap(queries, docs), shortlist).select("query_id", "doc_id")
+    short = trigram_top(queries, docs, shortlist).select("query_id", "doc_id")
     pairs = short.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(docs.select("doc_id", F.col("text").alias("t")), "doc_id")
     # few bytes but long work: a stated number of partitions, which adaptive execution doesn't coalesce
     pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "doc_id")

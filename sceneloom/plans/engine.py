@@ -51,8 +51,7 @@ class MomentEngine:
         """One lexical branch: filtered first, then scored."""
         docs = retrieval.search_filter(self.documents, **options.filters)
         text = F.array_join(FIELDS[name], " ")
-        found = retrieval.bm25(docs, "scene_id", T.tokens(text), queries, T.tokens(F.col("query")))
-        return retrieval.top_k(found, options.branch_k)
+        return retrieval.bm25_top(docs, "scene_id", T.tokens(text), queries, T.tokens(F.col("query")), options.branch_k)
 
     def candidates(self, queries: DataFrame, options: Options) -> DataFrame:
         live = {b: self.branch(b, queries, options) for b, w in options.weights.items() if w > 0}

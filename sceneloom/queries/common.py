@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval
-from ..runtime import table
+from ..runtime import checkpoint, table
 from ..sources import tables
 
 TOP = 20
@@ -42,15 +42,17 @@ def speech(spark: SparkSession, d: str) -> DataFrame:
 FIELDS = {"caption": "captions", "asr": "asr_texts", "keyword": "keywords"}
 
 
-def lexical(spark: SparkSession, d: str, branch: str, k: int | None = TOP) -> DataFrame:
+def lexical(spark: SparkSession, d: str, branch: str, k: int | None = TOP, docs: DataFrame | None = None) -> DataFrame:
     """The BM25 list of one field for all known-item queries."""
     queries = kis(spark, d).select("query_id", "query")
-    found = retrieval.bm25(documents(spark, d), "scene_id", T.tokens(F.array_join(FIELDS[branch], " ")), queries, T.tokens(F.col("query")))
-    return retrieval.top_k(found, k)
+    found = (documents(spark, d) if docs is None else docs, "scene_id", T.tokens(F.array_join(FIELDS[branch], " ")), queries, T.tokens(F.col("query")))
+    return retrieval.bm25_top(*found, k) if k else retrieval.top_k(retrieval.bm25(*found), None)
 
 
 def branches(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.union_branches({b: lexical(spark, d, b) for b in FIELDS})
+    """The lists of all fields, from one table of documents."""
+    docs = checkpoint(documents(spark, d).select("scene_id", *FIELDS.values()))
+    return retrieval.union_branches({b: lexical(spark, d, b, docs=docs) for b in FIELDS})
 
 
 def event_lists(spark: SparkSession, d: str) -> DataFrame:

@@ -180,7 +180,7 @@ s AS (SELECT query_id, doc_id, round(count(*) / max(n), 6) AS score FROM qg JOIN
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {C.TOP}"""
 )
 def trigram_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(retrieval.trigram_overlap(*_ocr(spark, d)), C.TOP)
+    return retrieval.trigram_top(*_ocr(spark, d), C.TOP)
 
 
 @query()
@@ -443,4 +443,4 @@ def engine_search(spark: SparkSession, d: str) -> DataFrame:
 def expanded_bm25(spark: SparkSession, d: str) -> DataFrame:
     """Queries with the English terms of their phrases appended."""
     plans = planner.plan_queries(C.kis(spark, d)).select("query_id", F.concat_ws(" ", "normalized", F.array_join("terms", " ")).alias("query"))
-    return retrieval.top_k(retrieval.bm25(C.documents(spark, d), "scene_id", T.tokens(F.array_join("captions", " ")), plans, T.tokens(F.col("query"))), C.TOP)
+    return retrieval.bm25_top(C.documents(spark, d), "scene_id", T.tokens(F.array_join("captions", " ")), plans, T.tokens(F.col("query")), C.TOP)
