@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, problems, ranking
+from . import further, media, problems, ranking
 
-_MODULES = [problems, ranking, media]
+_MODULES = [problems, ranking, media, further]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
