@@ -213,7 +213,7 @@ def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted_rates(documents: DataFrame, labels: DataFrame, sample: int = FIT_SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rates at which words open sentences in at most ``sample`` rated documents (doc_id, text)."""
     rated = labels.where(F.col("reading_level").between(1, LEVELS)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id")).limit(sample)
-    texts = documents.join(rated, "doc_id", "left_semi").select("text")
+    texts = documents.join(F.broadcast(rated), "doc_id", "left_semi").select("text")  # at most ``sample`` ids
     seen = texts.mapInArrow(_openings, "vi boolean, word bigint, n bigint, opens bigint").groupBy("vi", "word").agg(F.sum("n").alias("n"), F.sum("opens").alias("opens"))
     rows = seen.where(F.col("n") >= RATED_LEAST).orderBy(F.desc("n"), "word", "vi").limit(RATED_WORDS).toArrow()
     hashes = rows["word"].to_numpy().view(np.uint64)
