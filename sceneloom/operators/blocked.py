@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 _BLOCK = "__block"
 
 
-def blocked_cumsum(df: DataFrame, keys: list[str], order: str, weight: str, out: str, block: Column) -> DataFrame:
+def blocked_cumsum(df: DataFrame, keys: list[str], order: str | list[str], weight: str, out: str, block: Column) -> DataFrame:
     """Adds ``out``: the sum of ``weight`` up to and with the row, in ``order`` within ``keys``.
 
     ``block`` must not decrease along ``order``; ties of ``order`` must have been aggregated. Keys must not be null.
@@ -27,7 +27,7 @@ def blocked_cumsum(df: DataFrame, keys: list[str], order: str, weight: str, out:
         .withColumn("__before", F.sum("__w").over(Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)))
         .drop("__w")
     )
-    within = cut.withColumn("__own", F.sum(weight).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    within = cut.withColumn("__own", F.sum(weight).over(Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(Window.unboundedPreceding, 0)))
     return within.join(offsets, by).withColumn(out, F.col("__own") + F.coalesce("__before", F.lit(0))).drop("__own", "__before", _BLOCK)
 
 

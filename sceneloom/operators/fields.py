@@ -97,7 +97,7 @@ def branch_weights(c: Column, task: str = "auto") -> dict[str, Column]:
     padded = F.concat(F.lit(" "), T.lower(c), F.lit(" "))
     has = lambda hints: F.exists(T.constants(hints), lambda h: F.contains(padded, h))
     times = lambda condition, factor: F.when(condition, factor).otherwise(1.0)
-    written, spoken, action = has(WRITTEN) | c.rlike(r"(?U)\b\d{2,}\b"), has(SPOKEN), has(ACTION)
+    written, spoken, action = has(WRITTEN) | c.rlike(r"(?<![\p{L}\p{N}_])\p{Nd}{2,}(?![\p{L}\p{N}_])"), has(SPOKEN), has(ACTION)
     temporal = F.lit(True) if task == "temporal" else has(TEMPORAL)
     out = {b: F.lit(w) for b, w in BRANCH_WEIGHTS.items()}
     out["ocr"] *= times(written, 1.8)

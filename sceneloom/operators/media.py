@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint
+from .blocked import blocked_cumsum, blocked_last
+
 STRIDE, LENGTH, SHORTEST = 2.0, 4.0, 1.0
 EVENT_GAP, EVENT_LONGEST = 2.0, 60.0
 
@@ -30,32 +34,86 @@ def seconds_to_frame(sec: Column, fps: Column) -> Column:
     return F.bround(sec * fps, 0).cast("long")
 
 
+def _block(start: str) -> Column:
+    """Ten minutes of media time: what windows are scanned in, so that no video is one task."""
+    return F.floor(F.col(start) / 600)
+
+
+def _with_openers(df: DataFrame, key: str, start: str, end: str, gap: float, order: list[str]) -> DataFrame:
+    """Adds ``__opens``: 1 where an interval is the first of its key, or starts more than ``gap`` after the end of the one before."""
+    seen = blocked_last(df, [key], order, end, "__before", _block(start), inclusive=False)
+    return seen.withColumn("__opens", F.when(F.col("__before").isNull() | (F.col(start) - F.col("__before") > gap), 1).otherwise(0)).drop("__before")
+
+
 def session_groups(df: DataFrame, key: str, start: str, end: str, gap: float, order: list[str]) -> DataFrame:
-    """Adds ``group``: intervals of a key follow each other in a group while the gap to the one before is at most ``gap``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    opens = F.when(F.lag(end).over(w).isNull() | (F.col(start) - F.lag(end).over(w) > gap), 1).otherwise(0)
-    return df.withColumn("__opens", opens).withColumn("group", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("__opens")
+    """Adds ``group``: intervals of a key follow each other in a group while the gap to the one before is at most ``gap``. ``order`` begins with ``start`` and is total."""
+    opened = _with_openers(df, key, start, end, gap, order)
+    return blocked_cumsum(opened, [key], order, "__opens", "group", _block(start)).withColumn("group", F.col("group") - 1).drop("__opens")
+
+
+_SCENE = "video_id string, event_idx int, scene_id string, scene_idx int, start_sec double, end_sec double"
 
 
 def event_groups(scenes: DataFrame, gap: float = EVENT_GAP, longest: float = EVENT_LONGEST) -> DataFrame:
     """(video_id, event_idx, scene_id, scene_idx, start_sec, end_sec): scenes in order, in groups without a gap above ``gap`` that last at most ``longest``.
 
-    The length makes the grouping depend on the path. Gaps split a video into independent runs first, by
-    window functions; only within a run are scenes folded in order, so that a run, not a video, is an array.
+    The length makes the grouping depend on the path: a group starts at the first scene that doesn't fit into the one
+    before. Blocks of ten minutes are tasks of their own nevertheless. What a block does depends only on the start of the
+    group that is open when it begins, and that start is less than ``longest`` old; so each block first tells, for every
+    scene that may be the first not to fit, how many groups follow and which is open at its end. These short summaries
+    are walked in order, a video at a time, and give each block its open group, with which its scenes are numbered.
+
+    Scenes without video, start or end are left out.
     """
-    runs = session_groups(scenes.select("video_id", "scene_id", "scene_idx", "start_sec", "end_sec"), "video_id", "start_sec", "end_sec", gap, ["start_sec", "scene_idx", "scene_id"])
-    packed = runs.groupBy("video_id", "group").agg(F.array_sort(F.collect_list(F.struct("start_sec", "scene_idx", "scene_id", "end_sec"))).alias("items"))
-    zero = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = s["first"].isNull() | (x["end_sec"] - s["first"] > longest)
-        part = F.when(new, s["part"] + 1).otherwise(s["part"])
-        return F.struct(F.when(new, x["start_sec"]).otherwise(s["first"]).alias("first"), part.alias("part"), F.concat(s["parts"], F.array(part)).alias("parts"))
-
-    folded = packed.select("video_id", "group", F.explode(F.arrays_zip("items", F.aggregate("items", zero, step)["parts"].alias("parts"))).alias("x"))
-    flat = folded.select("video_id", "group", F.col("x.parts").alias("part"), "x.items.scene_id", "x.items.scene_idx", "x.items.start_sec", "x.items.end_sec")
-    number = F.dense_rank().over(Window.partitionBy("video_id").orderBy("group", "part")) - 1
-    return flat.select("video_id", number.alias("event_idx"), "scene_id", "scene_idx", "start_sec", "end_sec")
+    rows = scenes.select("video_id", "scene_id", F.col("scene_idx").cast("int").alias("scene_idx"), "start_sec", "end_sec").where("video_id is not null and start_sec is not null and end_sec is not null")
+    order = ["start_sec", "scene_idx", "scene_id"]
+    rows = checkpoint(_with_openers(rows, "video_id", "start_sec", "end_sec", gap, order).withColumn("block", _block("start_sec")))
+
+    def ordered(t: pa.Table) -> pa.Table:
+        return t.sort_by([(c, "ascending") for c in order])
+
+    def summary(t: pa.Table) -> pa.Table:
+        t = ordered(t)
+        start, end, opens = (t[c].to_pylist() for c in ("start_sec", "end_sec", "__opens"))
+        n = len(start)
+        last, count = [0.0] * n, [0] * n
+        for i in reversed(range(n)):
+            j = i + 1
+            while j < n and not opens[j] and end[j] - start[i] <= longest:
+                j += 1
+            last[i], count[i] = (start[i], 1) if j == n else (last[j], 1 + count[j])
+        records, high = [], float("-inf")
+        for j in range(n):
+            reach = float("inf") if opens[j] else end[j]
+            if reach > high:
+                high = reach
+                records.append({"reach": high, "last": last[j], "count": count[j]})
+            if high - start[0] > longest:
+                break  # no group that was open before the block goes beyond this scene
+        return pa.table({"video_id": [t["video_id"][0].as_py()], "block": [t["block"][0].as_py()], "records": pa.array([records], pa.list_(pa.struct([("reach", pa.float64()), ("last", pa.float64()), ("count", pa.int32())])))})
+
+    def walk(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        open_, total, out = None, 0, []
+        for records in t["records"].to_pylist():
+            out.append((open_, total))
+            hit = next((r for r in records if open_ is None or r["reach"] - open_ > longest), None)
+            if hit:
+                open_, total = hit["last"], total + hit["count"]
+        return pa.table({"video_id": t["video_id"], "block": t["block"], "open": pa.array([x for x, _ in out], pa.float64()), "before": pa.array([x for _, x in out], pa.int32())})
+
+    def number(t: pa.Table) -> pa.Table:
+        t = ordered(t)
+        open_, idx, out = t["open"][0].as_py(), t["before"][0].as_py() - 1, []
+        for start, end, opens in zip(*(t[c].to_pylist() for c in ("start_sec", "end_sec", "__opens"))):
+            if opens or open_ is None or end - open_ > longest:
+                open_, idx = start, idx + 1
+            out.append(idx)
+        return pa.table({"video_id": t["video_id"], "event_idx": pa.array(out, pa.int32()), **{c: t[c] for c in ("scene_id", "scene_idx", "start_sec", "end_sec")}})
+
+    blocks = rows.groupBy("video_id", "block").applyInArrow(summary, "video_id string, block bigint, records array<struct<reach:double,last:double,count:int>>")
+    entries = blocks.groupBy("video_id").applyInArrow(walk, "video_id string, block bigint, open double, before int")
+    return rows.join(entries, ["video_id", "block"]).groupBy("video_id", "block").applyInArrow(number, _SCENE)
 
 
 def event_table(groups: DataFrame) -> DataFrame:

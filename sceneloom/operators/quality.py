@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocked import blocked_last
+
+#: Frames of a block of scenes that are checked in order.
+FRAMES = 15_000
 # Formats of ids.
 ID_FORMATS = {"video_id": r"^L\d{2}_V\d{3}$", "scene_id": r"^L\d{2}_V\d{3}_S\d{4,}$", "keyframe_id": r"^L\d{2}_V\d{3}_S\d{4,}_F\d{6,}$"}
 
@@ -31,8 +35,8 @@ def conflicting_keys(df: DataFrame, table: str, key: str, content: list[str]) ->
 
 def scene_checks(scenes: DataFrame, videos: DataFrame) -> DataFrame:
     """Interval order, child ids derived from the parent, overlap and gaps of successive scenes, scenes beyond the video's end."""
-    w = Window.partitionBy("video_id").orderBy("start_frame", "scene_idx", "scene_id")
-    chained = scenes.withColumn("before", F.lag("end_frame_exclusive").over(w))
+    # blocks of some minutes of frames, so that no video is one task
+    chained = blocked_last(scenes.where("video_id is not null and start_frame is not null"), ["video_id"], ["start_frame", "scene_idx", "scene_id"], "end_frame_exclusive", "before", F.floor(F.col("start_frame") / FRAMES), inclusive=False)
     length = videos.groupBy("video_id").agg(F.max("frame_count").alias("frame_count"))
     bounded = scenes.join(length, "video_id", "left")
     return reduce(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ingest, joins, media, metrics, quality, retrieval, sequences, tasks
-from ..runtime import table
+from ..runtime import shared_dir, table
 from ..streaming import windows
 from . import common as C
 
@@ -421,7 +422,8 @@ def sequence_links(spark: SparkSession, d: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """The events table read as a stream until its end, counted per hour."""
     out = windows.tumbling(windows.read_events(spark, f"{d}/events.parque[t]"), "1 hour")
-    name = "sceneloom_stream_tumbling"
-    running = out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    place = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    sink = lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/counts")
+    running = out.writeStream.foreachBatch(sink).option("checkpointLocation", f"{place}/state").outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(f"{place}/counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

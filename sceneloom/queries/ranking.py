@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import retrieval, scoring, selection
+from ..operators import retrieval, scoring, selection, tasks
 from ..plans import engine, planner
 from ..runtime import table
 from . import common as C
@@ -107,11 +107,85 @@ def query_plans(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_KIS_STOP, _AVS_STOP = (", ".join(f"'{w}'" for w in sorted(x)) for x in (planner.STOPWORDS_KIS, planner.STOPWORDS_AVS))
+_CAPS = "[A-ZĐÀ-Ỹ][a-zà-ỹA-ZĐÀ-Ỹ]+"
+
+
+def _content_sql(c: str, stop: str) -> str:
+    """The words of a text with content, as (bare, word)."""
+    words = rf"list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+'), lambda x: {{'bare': {C.normalize_sql('x')}, 'word': x}})"
+    return f"list_filter({words}, lambda x: length(x.bare) >= 3 AND x.bare NOT IN ({stop}) AND NOT list_contains(banned, x.bare))"
+
+
+# e of the plans with what is negated as words, then the parts of the signature and the groups
+_SIGNATURES = _PLANS[: _PLANS.index("\na AS (")] + rf"""
+b AS (SELECT *, flatten(list_transform(negatives, lambda x: string_split(x, ' '))) AS banned, list_filter(phrases, lambda x: x <> '') AS shown FROM e),
+g AS (SELECT *, {_content_sql(f"regexp_replace(q, '{_QUOTE}', ' ', 'g')", _KIS_STOP)} AS content,
+  regexp_extract_all(regexp_replace(q, '([^\p{{L}}\p{{N}}_.,])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Nd}}(?:[\p{{Nd}}.,]*\p{{Nd}})?)(?:$|[^\p{{L}}\p{{N}}_])', 1) AS nums,
+  list_transform(regexp_extract_all('¤' || regexp_replace(q, '([.!?]\s)', '\1¤', 'g'), '[^\p{{L}}\p{{N}}_¤]({_CAPS}(?:\s+{_CAPS})*)', 1), lambda x: trim(x)) AS names FROM b),
+u AS (SELECT *, list_transform(list_filter(range(1, len(content) + 1), lambda i: list_position(list_transform(content, lambda x: x.bare), content[i].bare) = i), lambda i: content[i].word) AS ws, list_concat(shown, nums, names) AS odd FROM g),
+sg AS (SELECT *, list_concat(shown, list_filter(ws[1:3], lambda x: NOT list_contains(shown, x))) AS must, list_transform(list_filter(range(1, len(odd) + 1), lambda i: list_position(odd, odd[i]) = i), lambda i: odd[i]) AS rare FROM u),
+sig AS (SELECT *, list_filter(ws[4:], lambda x: NOT list_contains(must, x)) AS nice,
+  list_filter(list_transform(regexp_split_to_array({_BARE.format(f"regexp_replace(w, '{_NOT}', ' ', 'g')")}, '(?i)[,;]|[\s\p{{Z}}]+(?:và|and)[\s\p{{Z}}]+'), lambda p: list_filter(list_transform(regexp_split_to_array(p, '(?i)[\s\p{{Z}}]+(?:hoặc|hay|or)[\s\p{{Z}}]+'),
+    lambda o: array_to_string(list_transform({_content_sql('o', _AVS_STOP)}, lambda x: x.word), ' ')), lambda o: o <> '')), lambda p: len(p) > 0) AS groups FROM sg)
+"""
+
+
+@query(_SIGNATURES + "SELECT query_id, array_to_string(must, ' | ') AS must, array_to_string(rare, ' | ') AS rare, array_to_string(nice, ' | ') AS nice, array_to_string(list_transform(groups, lambda p: array_to_string(p, ' / ')), ' | ') AS groups FROM sig")
 def query_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """What known-item queries must show and what they are expanded by; lists as text."""
+    """What known-item queries must show, what is rare about them, and the groups that must be met; lists as text."""
     plans = planner.plan_queries(C.kis(spark, d))
-    return plans.select("query_id", *[F.array_join(c, " | ").alias(c) for c in ("must", "rare", "nice", "terms", "colors")], F.to_json("groups").alias("groups"))
+    return plans.select("query_id", *[F.array_join(c, " | ").alias(c) for c in ("must", "rare", "nice")], F.array_join(F.transform("groups", lambda p: F.array_join(p, " / ")), " | ").alias("groups"))
+
+
+@query()
+def query_expansions(spark: SparkSession, d: str) -> DataFrame:
+    """What known-item queries are expanded by, and the colours they name."""
+    plans = planner.plan_queries(C.kis(spark, d))
+    return plans.select("query_id", F.array_join("terms", " | ").alias("terms"), F.array_join("colors", " | ").alias("colors"))
+
+
+def _bare_sql(terms: str) -> str:
+    return f"list_filter(list_transform({terms}, lambda x: {C.normalize_sql('x')}), lambda x: x <> '')"
+
+
+def _hits_sql(terms: str) -> str:
+    """How many of the normalized terms a text t has: words among its words, phrases anywhere."""
+    return f"len(list_filter({terms}, lambda x: CASE WHEN contains(x, ' ') THEN contains(t, x) ELSE list_contains(string_split(t, ' '), x) END))"
+
+
+_OWN = _SIGNATURES.rstrip() + f""",
+nb AS (SELECT query_id, len(must) AS nm, len(rare) AS nr, len(nice) AS nn, {_bare_sql('must')} AS bm, list_transform(rare, lambda x: {C.normalize_sql('x')}) AS br, {_bare_sql('nice')} AS bn, {_bare_sql('negatives')} AS bx, list_transform(groups, lambda p: {_bare_sql('p')}) AS bg FROM sig)""" + C.bm25_sql("caption") + f""",
+t AS (SELECT scene_id AS doc_id, {C.normalize_sql("string_agg(t, ' ' ORDER BY t)")} AS t FROM ({C.TEXTS['caption']}) GROUP BY 1)
+"""
+
+
+@query(
+    _OWN
+    + f""", m AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) + 0.6 * CASE WHEN nm > 0 THEN {_hits_sql('bm')} / CAST(nm AS DOUBLE) ELSE 1 END + 0.25 * CASE WHEN nr > 0 THEN least(len(list_filter(br, lambda x: contains(t, x))) / CAST(nr AS DOUBLE), 1.0) ELSE 0 END
+  + 0.1 * CASE WHEN nn > 0 THEN {_hits_sql('bn')} / CAST(nn AS DOUBLE) ELSE 0 END + 0.15 - CASE WHEN {_hits_sql('bx')} > 0 THEN 0.8 ELSE 0 END AS total FROM l_caption JOIN t USING (doc_id) JOIN nb USING (query_id))
+SELECT query_id, doc_id, round(total, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 6) DESC, doc_id) AS rank FROM m"""
+)
+def known_items(spark: SparkSession, d: str) -> DataFrame:
+    """Known-item scores of the caption candidates by each query's own signature."""
+    plans = planner.plan_queries(C.kis(spark, d)).select("query_id", "must", "rare", "nice", "negatives")
+    texts = C.documents(spark, d).where("size(captions) > 0").select(F.col("scene_id").alias("doc_id"), T.normalize(F.array_join(F.array_sort("captions"), " ")).alias("t"))
+    met = C.lexical(spark, d, "caption").join(texts, "doc_id").join(plans, "query_id").withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
+    total = tasks.known_item_score(F.col("score"), F.col("best"), F.col("must"), F.col("rare"), F.col("nice"), F.col("negatives"), F.col("t"), F.lit(1), F.lit(1), F.lit(0.0))
+    return retrieval.top_k(met.select("query_id", "doc_id", F.round(total, 6).alias("score")), None)
+
+
+@query(
+    _OWN
+    + f""", m AS (SELECT query_id, doc_id, t, bx, len(bg) AS n, len(list_filter(bg, lambda p: {_hits_sql('p')} > 0)) / CAST(len(bg) AS DOUBLE) AS share FROM l_caption JOIN t USING (doc_id) JOIN nb USING (query_id))
+SELECT query_id, doc_id, CASE WHEN t = '' OR n = 0 OR {_hits_sql('bx')} > 0 THEN 0 WHEN share >= 0.999 THEN 3 WHEN share >= 0.6 THEN 2 WHEN share > 0 THEN 1 ELSE 0 END AS grade FROM m"""
+)
+def group_grades(spark: SparkSession, d: str) -> DataFrame:
+    """Grades of the caption candidates by each query's own groups and negations."""
+    plans = planner.plan_queries(C.kis(spark, d)).select("query_id", "groups", "negatives")
+    texts = C.documents(spark, d).where("size(captions) > 0").select(F.col("scene_id").alias("doc_id"), T.normalize(F.array_join(F.array_sort("captions"), " ")).alias("t"))
+    met = C.lexical(spark, d, "caption").join(texts, "doc_id").join(plans, "query_id")
+    return met.select("query_id", "doc_id", tasks.grade(F.col("groups"), F.col("negatives"), F.col("t")).alias("grade"))
 
 
 # --- branches ---

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.blocked import blocked_cumsum
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, key: str | None = None) -> DataFrame:
     """JSON lines; blank lines are skipped. With a key, a duplicate is an error, as is an empty file."""
@@ -24,9 +26,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, key: st
 
 def read_last(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """JSON lines of which the last row of a key counts (by file, then by position in the text)."""
-    rows = spark.read.schema(schema).json(path).withColumn("__at", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).json(path)
+    # numbers rise within the piece of a file that a task reads
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
     w = Window.partitionBy(key).orderBy(F.desc("__at"))
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__at")
+    return rows.select("*", at.alias("__at")).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__at")
 
 
 def read_pack(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,7 +44,9 @@ def read_pack(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_frame_map(spark: SparkSession, path: str, video_id: str) -> DataFrame:
     """A CSV of (n, frame_idx, pts_time) as keyframe rows in order of frames."""
     rows = spark.read.option("header", "true").schema("n int, pts_time double, fps double, frame_idx bigint").csv(path)
-    return rows.select(F.lit(video_id).alias("video_id"), "frame_idx", "pts_time", F.row_number().over(Window.orderBy("frame_idx")).alias("row"))
+    named = rows.select(F.lit(video_id).alias("video_id"), "frame_idx", "pts_time", F.lit(1).alias("__one"))
+    numbered = blocked_cumsum(named, ["video_id"], ["frame_idx", "pts_time"], "__one", "row", F.floor(F.col("frame_idx") / 100_000))
+    return numbered.select("video_id", "frame_idx", "pts_time", "row")
 
 
 def export(tables: dict[str, DataFrame], keys: dict[str, str], path: str) -> dict[str, int]:

@@ -7,6 +7,8 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sceneloom import runtime
@@ -140,6 +142,24 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     assert runtime.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["v", "w"]), st.integers(0, 1900), st.integers(1, 90)), max_size=80), st.sampled_from([2.0, 40.0]))
+def test_events_equal_a_plain_walk(spark, rows, gap):
+    # dense stretches that go over several blocks of ten minutes, too
+    rows = [(v, f"s{i}", i, float(s), float(s + n)) for i, (v, s, n) in enumerate(rows)] + [("x", f"x{i}", i, 7.0 * i, 7.0 * i + 6.5) for i in range(300)]
+    want = {}
+    for video in {r[0] for r in rows}:
+        first = last = None
+        event = -1
+        for _, scene, _, start, end in sorted((r for r in rows if r[0] == video), key=lambda r: (r[3], r[2])):
+            if first is None or start - last > gap or end - first > 60.0:
+                first, event = start, event + 1
+            last = end
+            want[scene] = event
+    got = media.event_groups(spark.createDataFrame(rows, "video_id string, scene_id string, scene_idx int, start_sec double, end_sec double"), gap).collect()
+    assert {r.scene_id: r.event_idx for r in got} == want and len(got) == len(rows)
+
+
 def test_diverse_selection(spark):
     rows = [("q", "a", "v", 0.9, ["x", "y"]), ("q", "b", "v", 0.85, ["x", "y"]), ("q", "c", "w", 0.8, ["z"]), ("q", "d", "w", 0.1, None)]
     got = [(r.doc_id, r.cluster) for r in tasks.select_diverse(spark.createDataFrame(rows, "query_id string, doc_id string, video_id string, relevance double, words array<string>"), 3).orderBy("rank").collect()]
