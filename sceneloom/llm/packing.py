@@ -42,7 +42,7 @@ from .words import slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Items of a shard, islands, rounds, members of a population; an island rests after so many crossovers without gain.
-SHARD, ISLANDS, ROUNDS, POPULATION, PATIENCE = 600, 3, 2, 5, 10
+SHARD, ISLANDS, ROUNDS, POPULATION, PATIENCE = 600, 2, 2, 5, 10
 #: Share of the containers that a mutation empties, and the worst containers of a shard that are packed again with those of others.
 EMPTIED, POOLED = 0.08, 3
 
@@ -141,13 +141,16 @@ def exchange(items: list[int], sizes: list[int], capacity: int, bins: list[list[
     """Swap displaced items, the largest first, for smaller ones of a bin where that leaves least room; returns what is displaced then."""
     waiting = sorted(items, key=sizes.__getitem__)
     out = []
-    opened = [i for i, f in enumerate(fills) if f < capacity]
+    # the widest room first: no bin further on can gain more than its room
+    opened = sorted((i for i, f in enumerate(fills) if f < capacity), key=fills.__getitem__)
     held = {i: sorted((sizes[x], x) for x in bins[i]) for i in opened}
     while waiting:
         item = waiting.pop()
         size, best, gain = sizes[item], None, 0
         for i in opened:
             free = capacity - fills[i]
+            if free <= gain:
+                continue
             # the largest item of the bin that is smaller than this one and makes room for it
             at = bisect_left(held[i], (size, -1)) - 1
             low = bisect_left(held[i], (size - free, -1))
