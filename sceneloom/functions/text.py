@@ -133,6 +133,12 @@ def contains_hint(c: Column, hints: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, hints)), lambda h: F.contains(text, h))
 
 
+def json_object(c: Column) -> Column:
+    """The JSON object in a text of a model: the one in a fence, else from the first brace to the last; null without one."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit("")))
+
+
 def phrase_level(phrase: Column, text: Column, threshold: float = 0.6) -> Column:
     """'exact', 'partial' (so many of the words), 'hit' (some) or 'miss' of a normalized phrase in a normalized text."""
     wanted, held = words_of(phrase), words_of(text)

@@ -292,6 +292,15 @@ def branch_status(candidates: DataFrame, branches: DataFrame) -> DataFrame:
     return branches.join(n, "branch", "left").select("branch", state.alias("state"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
+#: States of a branch, from the best to the worst.
+SEVERITY = ("disabled", "empty", "success", "unavailable", "timeout", "failed")
+
+
+def merge_status(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The states (by, state, below) of several searches as one: the worst state, and all results below a threshold."""
+    return rows.groupBy(*by).agg(F.max_by("state", F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("state"))).alias("state"), F.sum("below").alias("below"))
+
+
 def search_filter(df: DataFrame, video_ids: list[str] | None = None, scene_ids: list[str] | None = None, has_ocr: bool | None = None, has_asr: bool | None = None, start_sec_gte: float | None = None, end_sec_lte: float | None = None) -> DataFrame:
     """The conjunction of the given conditions; an empty list is no condition."""
     if start_sec_gte is not None and end_sec_lte is not None and end_sec_lte < start_sec_gte:

@@ -45,6 +45,13 @@ def absorbed(ranked: DataFrame, scope: str) -> DataFrame:
     return marked.where("__n = 1").select("query_id", "doc_id", "absorbed")
 
 
+def absorbed_ids(ranked: DataFrame, scope: str) -> DataFrame:
+    """(query_id, doc_id, dropped): the first of each group with the ids of the others, in order of rank."""
+    items = F.array_sort(F.collect_list(F.struct("rank", "doc_id")))
+    out = ranked.withColumn("__g", group_key(scope)).groupBy("query_id", "__g").agg(F.transform(items, lambda x: x["doc_id"]).alias("ids"))
+    return out.select("query_id", F.get("ids", F.lit(0)).alias("doc_id"), F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(1))).alias("dropped"))
+
+
 def rerank(ranked: DataFrame, model_score: str, head: int, keep: int | None = None) -> DataFrame:
     """The first ``head`` by model score, the first ``keep`` of them before the rest in their old order; rows without score stay last of the head."""
     by = Window.partitionBy("query_id")

@@ -6,10 +6,31 @@ beam after each. Only the beam, a stated number of rows per query (or query and
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class SequenceOptions:
+    """Parameters of a search for sequences, of which a request may set some."""
+
+    gap_penalty: float = 0.002
+    max_gap_sec: float = 300.0
+    missing: float | None = -0.5
+    beam: int = 50
+
+    def overridden(self, asked: dict) -> SequenceOptions:
+        """Only what a request states is changed; an unknown name is an error."""
+        if unknown := set(asked) - {f.name for f in fields(self)}:
+            raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
+        return replace(self, **asked)
+
+    def search(self, hits: DataFrame, steps: int) -> DataFrame:
+        return beam_search(hits, steps, self.beam, self.max_gap_sec, self.gap_penalty, self.missing)
+
+
 def link_steps(hits: DataFrame, steps: int, beam: int = 100, gap_penalty: float = 0.002, max_gap: float | None = None) -> DataFrame:
     """(query_id, video_id, scenes, score, rank) from hits (query_id, step, video_id, scene_idx, start_sec, score).
 

@@ -37,6 +37,37 @@ class Options:
             raise ValueError(f"unknown fusion: {self.method}")
 
 
+@dataclass(frozen=True)
+class BranchOptions:
+    """Options of one branch; None leaves a value to the next one asked."""
+
+    enabled: bool | None = None
+    weight: float | None = None
+    limit: int | None = None
+    timeout_ms: int | None = None
+
+
+def resolve(overrides: dict[str, BranchOptions], execution: str, branch: str, default: BranchOptions) -> BranchOptions:
+    """The options of an execution of a branch: its own, those of the branch, the default, value by value.
+
+    A branch that isn't enabled has no weight; a limit never exceeds the default one.
+    """
+    chain = [o for o in (overrides.get(execution), overrides.get(branch), default) if o is not None]
+    first = lambda name: next((v for o in chain if (v := getattr(o, name)) is not None), None)
+    enabled, limit = first("enabled"), first("limit")
+    limit = limit if default.limit is None or limit is None else min(limit, default.limit)
+    return BranchOptions(enabled, 0.0 if enabled is False else first("weight"), limit, first("timeout_ms"))
+
+
+def registered(executions: dict[str, str], controls: dict[str, tuple[str, ...]]) -> list[dict]:
+    """Branches in order of name, each with its executions and the controls that all of them know."""
+    out = []
+    for branch in sorted(set(executions.values())):
+        own = sorted(e for e, b in executions.items() if b == branch)
+        out.append({"branch": branch, "executions": own, "controls": sorted(set.intersection(*[set(controls.get(e, ())) for e in own]))})
+    return out
+
+
 class MomentEngine:
     """Search over scene documents (see ``tables.scene_documents``)."""
 

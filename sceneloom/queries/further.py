@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import evaluation, evidence, fields, media, retrieval, selection, sequences, tasks
+from ..operators import evaluation, evidence, fields, ingest, media, retrieval, selection, sequences, tasks
 from ..runtime import checkpoint, table
 from ..sources import tables
 from . import common as C
@@ -423,3 +423,91 @@ def event_aggregates(spark: SparkSession, d: str) -> DataFrame:
         F.min("video_id").alias("video_id"), F.count(F.lit(1)).alias("scenes"), F.min("start_frame").alias("start_frame"), F.max("end_frame_exclusive").alias("end_frame_exclusive"),
         F.md5(F.array_join(gathered(F.col("captions.text")), " ")).alias("caption"), F.array_join(gathered(F.col("keywords.normalized_text")), ",").alias("keywords"), F.array_join(gathered(F.col("action_tags")), ",").alias("actions"),
     )
+
+
+# --- ingest ---
+
+
+@query(
+    C.CURRENT
+    + """, v AS (SELECT video_id, max(fps) AS fps FROM videos GROUP BY 1), k AS (SELECT DISTINCT video_id, frame_idx FROM keyframes),
+p AS (SELECT k.video_id, frame_idx, s.scene_id, row_number() OVER (PARTITION BY k.video_id, frame_idx ORDER BY start_frame, s.scene_id) AS r FROM k JOIN sc s ON k.video_id = s.video_id AND frame_idx >= start_frame AND frame_idx < end_frame_exclusive)
+SELECT scene_id || '_F' || lpad(CAST(frame_idx AS VARCHAR), CAST(greatest(6, length(CAST(frame_idx AS VARCHAR))) AS INTEGER), '0') AS keyframe_id, round(frame_idx / fps, 6) AS timestamp_sec FROM p JOIN v USING (video_id) WHERE r = 1"""
+)
+def placed_keyframes(spark: SparkSession, d: str) -> DataFrame:
+    """Frames as they come, placed in scenes and timed."""
+    rows = table(spark, d, "keyframes").select("video_id", "frame_idx").distinct()
+    return ingest.assemble_keyframes(rows, C.scenes(spark, d), C.videos(spark, d), {})[0].select("keyframe_id", "timestamp_sec")
+
+
+@query(
+    C.CURRENT
+    + """, c AS (SELECT scene_id, c.text AS text FROM (SELECT scene_id, unnest(captions) AS c FROM keyframes)), i AS (SELECT scene_id, list_sort(list_distinct(list(text))) AS ts FROM c WHERE text IS NOT NULL GROUP BY 1)
+SELECT scene_id, coalesce(len(ts), 0) AS n, md5(coalesce(array_to_string(ts, ' | '), '')) AS imported FROM sc LEFT JOIN i USING (scene_id) UNION ALL SELECT 'unknown', count(*), '' FROM c WHERE scene_id IS NOT NULL AND scene_id NOT IN (SELECT scene_id FROM sc)"""
+)
+def imported_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of frames as captions of their scenes; those of unknown scenes are counted."""
+    captions = table(spark, d, "keyframes").where("scene_id is not null").select("scene_id", F.explode("captions").alias("c")).select("scene_id", "c.text", "c.language")
+    merged, unknown = ingest.merge_captions(C.scenes(spark, d).select("scene_id"), captions)
+    known = merged.select("scene_id", F.size("imported").cast("long").alias("n"), F.md5(F.array_join("imported", " | ")).alias("imported"))
+    return known.unionByName(unknown.agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown").alias("scene_id"), "n", F.lit("").alias("imported")))
+
+
+@query("SELECT DISTINCT scene_id, lower(trim(o.label)) AS keyword FROM (SELECT scene_id, unnest(objects) AS o FROM keyframes) WHERE trim(o.label) <> ''")
+def label_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.scene_keywords(table(spark, d, "keyframes").select("scene_id", F.explode("objects").alias("o")).select("scene_id", "o.label"))
+
+
+@query(
+    C.CURRENT
+    + """, a AS (SELECT scene_id, start_sec FROM sc), b AS (SELECT payload.scene_id AS scene_id, min(payload.start_sec) AS start_sec FROM scene_index WHERE payload.scene_id IS NOT NULL GROUP BY 1)
+SELECT scene_id, start_sec FROM a UNION ALL SELECT scene_id, start_sec FROM b WHERE scene_id NOT IN (SELECT scene_id FROM a)"""
+)
+def first_sources(spark: SparkSession, d: str) -> DataFrame:
+    """When scenes start: by the scenes' own table, else by the index."""
+    index = table(spark, d, "scene_index").select("payload.scene_id", "payload.start_sec").where("scene_id is not null").groupBy("scene_id").agg(F.min("start_sec").alias("start_sec"))
+    return ingest.first_source([C.scenes(spark, d).select("scene_id", "start_sec"), index], "scene_id")
+
+
+@query("SELECT doc_id, sha256(concat_ws(chr(31), text, source)) AS content_hash FROM documents WHERE sha256(concat_ws(chr(31), text, source)) NOT IN (SELECT sha256(concat_ws(chr(31), text, source)) FROM documents WHERE doc_id % 2 = 0)")
+def enrich_todo(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which no equal one has an even id, as if those had been done."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    done = docs.where("doc_id % 2 = 0").select(F.sha2(F.concat_ws("\x1f", "text", "source"), 256).alias("content_hash"))
+    return ingest.to_enrich(docs, done, ["text", "source"]).select("doc_id", "content_hash")
+
+
+@query(C.EVENT_RESULTS + "SELECT query_id, arg_min(doc_id, rank) AS doc_id, array_to_string(list(doc_id ORDER BY rank)[2:], ',') AS dropped FROM r GROUP BY query_id, scene_id HAVING count(*) > 1")
+def dropped_ids(spark: SparkSession, d: str) -> DataFrame:
+    """What the first of each scene stands for, as ids."""
+    return selection.absorbed_ids(C.event_results(spark, d), "scene").where("size(dropped) > 0").select("query_id", "doc_id", F.array_join("dropped", ",").alias("dropped"))
+
+
+_STATES = "CASE event_type WHEN 'click' THEN 'success' WHEN 'view' THEN CASE WHEN value < 20 THEN 'timeout' ELSE 'empty' END ELSE CASE WHEN value < 5 THEN 'failed' ELSE 'success' END END"
+
+
+@query(f"SELECT user_id, event_type AS branch, arg_max(s, list_position(['disabled', 'empty', 'success', 'unavailable', 'timeout', 'failed'], s)) AS state, count(*) FILTER (value < 10) AS below FROM (SELECT *, {_STATES} AS s FROM events) GROUP BY 1, 2")
+def merged_states(spark: SparkSession, d: str) -> DataFrame:
+    """States of branches over several searches (here: made up from events): the worst one counts, and how many results a threshold met."""
+    e = table(spark, d, "events")
+    rows = e.select("user_id", F.col("event_type").alias("branch"), F.expr(_STATES).alias("state"), (F.col("value") < 10).cast("long").alias("below"))
+    return retrieval.merge_status(rows, ["user_id", "branch"])
+
+
+@query("SELECT file_id, line_no, json_extract_string(regexp_extract('Here: ```json ' || raw_json || ' ``` done', '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1), '$.created_at') AS created FROM export_lines WHERE json_valid(raw_json) AND raw_json LIKE '{%'")
+def fenced_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Objects read out of a text with a fence around them."""
+    lines = table(spark, d, "export_lines").where("try_parse_json(raw_json) is not null and raw_json like '{%'")
+    found = T.json_object(F.concat(F.lit("Here: ```json "), "raw_json", F.lit(" ``` done")))
+    return lines.select("file_id", "line_no", F.get_json_object(found, "$.created_at").alias("created"))
+
+
+@query(
+    C.CURRENT
+    + C.bm25_sql("caption", 3)
+    + f""", t AS (SELECT scene_id AS doc_id, string_agg(t, ' ' ORDER BY t) AS t FROM ({C.TEXTS['caption']}) GROUP BY 1) SELECT query_id, md5(string_agg('[' || doc_id || '] ' || left(t, 500), chr(10) ORDER BY rank)) AS answer FROM l_caption JOIN t USING (doc_id) GROUP BY 1"""
+)
+def evidence_answers(spark: SparkSession, d: str) -> DataFrame:
+    docs = C.documents(spark, d).where("size(captions) > 0").select(F.col("scene_id").alias("doc_id"), F.array_join(F.array_sort("captions"), " ").alias("text"))
+    hits = C.lexical(spark, d, "caption", 3).join(docs, "doc_id").withColumnRenamed("doc_id", "scene_id")
+    return tasks.evidence_answers(hits).withColumn("answer", F.md5("answer"))

@@ -224,6 +224,49 @@ def test_engine_refuses_unknown_options():
         engine.Options(method="vote")
 
 
+def test_options_of_branches_and_sequences():
+    own = {"bm25.expanded": engine.BranchOptions(weight=0.3), "bm25": engine.BranchOptions(weight=0.9, limit=500)}
+    default = engine.BranchOptions(True, 1.0, 100, 800)
+    assert engine.resolve(own, "bm25.expanded", "bm25", default) == engine.BranchOptions(True, 0.3, 100, 800)
+    assert engine.resolve({"ocr": engine.BranchOptions(enabled=False)}, "ocr.fuzzy", "ocr", default).weight == 0.0
+    assert engine.registered({"b2": "b", "b1": "b", "a1": "a"}, {"b1": ("limit", "weight"), "b2": ("limit",)}) == [{"branch": "a", "executions": ["a1"], "controls": []}, {"branch": "b", "executions": ["b1", "b2"], "controls": ["limit"]}]
+    assert sequences.SequenceOptions().overridden({"missing": None}) == sequences.SequenceOptions(missing=None)
+    with pytest.raises(ValueError):
+        sequences.SequenceOptions().overridden({"colour": 1})
+
+
+def test_objects_in_texts(spark):
+    texts = {"x ```json\n{\"a\": {\"b\": 1}}\n``` y {z}": '{"a": {"b": 1}}', 'so {"a": 1} end': '{"a": 1}', "none": None}
+    assert {t: one(spark, T.json_object(F.lit(t))) for t in texts} == texts
+
+
+def test_packs_maps_and_ledgers(spark, tmp_path):
+    pack = tmp_path / "pack"
+    (pack / "manifests").mkdir(parents=True)
+    (pack / "manifests" / "a.jsonl").write_text('{"id": "a"}\n')
+    (pack / "_SUCCESS.json").write_text('{"status": "running"}')
+    with pytest.raises(ValueError):
+        files.read_pack(spark, str(pack), "id string")
+    (pack / "_SUCCESS.json").write_text('{"status": "success"}')
+    assert files.read_pack(spark, str(pack), "id string").collect() == [("a",)]
+    (tmp_path / "map.csv").write_text("n,pts_time,fps,frame_idx\n2,8.0,25.0,200\n1,0.0,25.0,0\n3,8000.0,25.0,200000\n")
+    assert [(r.frame_idx, r.row) for r in files.read_frame_map(spark, str(tmp_path / "map.csv"), "v").orderBy("row").collect()] == [(0, 1), (200, 2), (200000, 3)]
+    ledger = spark.createDataFrame([("v", 1), ("w", 1)], "video_id string, state int")
+    assert sorted(map(tuple, files.merge_ledger(ledger, spark.createDataFrame([("w", 2)], ledger.schema)).collect())) == [("v", 1), ("w", 2)]
+    art = spark.createDataFrame([("b", "n", 1), ("b", "m", 1)], "backend string, name string, v int")
+    assert sorted(map(tuple, ingest.replace_artifact(art, spark.createDataFrame([("b", "n", 2)], art.schema)).collect())) == [("b", "m", 1), ("b", "n", 2)]
+    lines = spark.createDataFrame([("q", 2, "b"), ("q", 1, "a")], "query_id string, rank int, line string")
+    files.write_submission(lines, str(tmp_path / "sub"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "sub" / "query_id=q")).collect()] == ["a", "b"]
+    traces = spark.createDataFrame([("s", 1), ("t", 2)], "session_id string, created_at int")
+    assert [r.session_id for r in files.latest_traces(traces, 1).collect()] == ["t"]
+    scored = tasks.score_with(lambda texts: [float(len(t)) for t in texts], "line")(lines)
+    assert sorted(r.model_score for r in scored.collect()) == [1.0, 1.0]
+    state, weight = ingest.quality_state()
+    rows = spark.createDataFrame([(1, 0), (0, 2), (0, 0)], "errors int, warnings int").select(state.alias("s"), weight.alias("w")).collect()
+    assert [(r.s, r.w) for r in rows] == [("invalid", 0.0), ("needs_review", 0.75), ("passed", 1.0)]
+
+
 def test_empty_inputs(spark):
     docs = spark.createDataFrame([], "doc_id string, text string")
     queries = spark.createDataFrame([("q", "a")], "query_id string, text string")
