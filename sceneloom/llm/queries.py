@@ -66,16 +66,18 @@ def _leaks_sql() -> str:
     """Every run of ten words of every document, against those of the items."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     chars = ", ".join(f"({quoted(c)}, {quoted(to)})" for c, to in charmap.table().items())
-    runs = "SELECT DISTINCT k, array_to_string(list_slice(w, i, i + 9), ' ') AS run FROM (SELECT k, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT k, {w} AS w FROM {t}))"
+    following = ", ".join(f"lead(w, {i}) OVER o" for i in range(1, 10))
     return f"""
 WITH m(c, becomes) AS (VALUES {chars}),
 src AS (SELECT 'd' AS side, doc_id AS k, text FROM documents WHERE text IS NOT NULL UNION SELECT 'i', item_id, text FROM eval_items WHERE text IS NOT NULL),
 odd AS (SELECT side, k, string_split(text, ' ') AS p FROM src),
-words AS (SELECT DISTINCT unnest(p) AS w FROM odd),
+words AS (SELECT DISTINCT w FROM (SELECT unnest(p) AS w FROM odd) WHERE regexp_matches(w, '[^ -~]')),
 mapped AS (SELECT w, string_agg(coalesce(becomes, c), '' ORDER BY i) AS f FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i, unnest(regexp_extract_all(w, '(?s).')) AS c FROM words) LEFT JOIN m USING (c) GROUP BY 1),
 parts AS (SELECT side, k, unnest(p) AS w, unnest(range(len(p))) AS n FROM odd),
-texts AS (SELECT side, k, string_agg(coalesce(f, ''), ' ' ORDER BY n) AS form FROM parts LEFT JOIN mapped USING (w) GROUP BY 1, 2),
-d AS ({runs.format(w=_WORDS_P7, t="texts WHERE side = 'd'")}), i AS ({runs.format(w=_WORDS_P7, t="texts WHERE side = 'i'")}),
+texts AS (SELECT side, k, string_agg(coalesce(f, w), ' ' ORDER BY n) AS form FROM parts LEFT JOIN mapped USING (w) GROUP BY 1, 2),
+tokens AS (SELECT side, k, unnest(ws) AS w, unnest(range(len(ws))) AS n FROM (SELECT side, k, {_WORDS_P7} AS ws FROM texts)),
+runs AS (SELECT side, k, hash(w, {following}) AS run, lead(w, 9) OVER o AS last FROM tokens WINDOW o AS (PARTITION BY side, k ORDER BY n)),
+d AS (SELECT k, run FROM runs WHERE side = 'd' AND last IS NOT NULL), i AS (SELECT DISTINCT k, run FROM runs WHERE side = 'i' AND last IS NOT NULL),
 found AS (SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM d JOIN i USING (run))
 """
 
