@@ -232,50 +232,61 @@ def read_object(raw: str | None) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def flat(found: dict, layout: Layout, prefix: str = "") -> dict[str, object]:
+def flat(found: dict, layout: Layout) -> dict[str, object]:
     """The reported fields of an object by path, entered objects being replaced by their keys."""
-    out = {}
-    for key, value in found.items():
-        path = prefix + key
-        if path in layout.entered and isinstance(value, dict):
-            out |= flat(value, layout, path + ".")
-        elif prefix or key not in layout.unreported:
-            out[path] = value
+    out = {k: v for k, v in found.items() if k not in layout.unreported}
+    for path in sorted(layout.entered, key=len):
+        inner = out.get(path)
+        if isinstance(inner, dict):
+            del out[path]
+            for k, v in inner.items():
+                out[f"{path}.{k}"] = v
     return out
 
 
+_KIND_OF = {type(None): 0, str: KINDS["string"], int: KINDS["integer"], float: KINDS["decimal"], bool: KINDS["boolean"], list: KINDS["array"], dict: KINDS["object"]}
+
+
 def kind_of(value: object) -> int:
     """The bit of a value's type, 0 for a null value."""
-    if isinstance(value, int) and not isinstance(value, bool):
-        return KINDS["integer"] if -(1 << 63) <= value < 1 << 63 else KINDS["decimal"]
-    return 0 if value is None else KINDS[{str: "string", float: "decimal", bool: "boolean", list: "array", dict: "object"}[type(value)]]
+    kind = _KIND_OF[type(value)]
+    return KINDS["decimal"] if kind == KINDS["integer"] and not -(1 << 63) <= value < 1 << 63 else kind
 
 
 def _plain(texts: list[str]) -> list[str]:
     """Without lone surrogates, which no table holds."""
-    return [t.encode("utf-8", "replace").decode() for t in texts]
+    return [t if t.isascii() else t.encode("utf-8", "replace").decode() for t in texts]
+
+
+_FIELDS_TYPE = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32())]))
 
 
 def _fields(layout: Layout):
-    """The fields of the files of each batch of lines (file_id, dataset_id, entity, exported_at, raw_json), merged within the batch."""
+    """The fields of the files of each batch of lines (file_id, dataset_id, entity, exported_at, raw_json), one row per file of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[tuple, dict[str, int]] = {}
-            place: dict[tuple, int] = {}
+            place: list[int] = []
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.int64()).to_pylist())
             for i, (key, raw) in enumerate(zip(keys, batch.column(4).to_pylist())):
                 found = read_object(raw)
                 if found is None:
                     continue
-                if key not in held:
-                    held[key], place[key] = {}, i
-                kinds = held[key]
+                kinds = held.get(key)
+                if kinds is None:
+                    kinds = held[key] = {}
+                    place.append(i)
                 for path, value in flat(found, layout).items():
                     kinds[path] = kinds.get(path, 0) | kind_of(value)
-            at = pa.array([place[k] for k, kinds in held.items() for _ in kinds], pa.int64())
-            paths, masks = [p for x in held.values() for p in x], [m for x in held.values() for m in x.values()]
-            yield pa.record_batch([*(batch.column(i).take(at) for i in range(4)), pa.array(_plain(paths), pa.string()), pa.array(masks, pa.int32())], names=[*batch.schema.names[:4], "path", "kind"])
+            trees = [sorted(zip(_plain(list(kinds)), kinds.values())) for kinds in held.values()]
+            paths, masks = [p for t in trees for p, _ in t], [m for t in trees for _, m in t]
+            ends = [0]
+            for t in trees:
+                ends.append(ends[-1] + len(t))
+            fields = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(masks, pa.int32())], names=["path", "kind"]))
+            at = pa.array(place, pa.int64())
+            yield pa.record_batch([*(batch.column(i).take(at) for i in range(4)), fields], names=[*batch.schema.names[:4], "fields"])
 
     return run
 
@@ -284,13 +295,13 @@ def file_trees(lines: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """(file_id, dataset_id, entity, exported_at, fields): each file with its fields (path, kind) in order, kind being a mask of types."""
     named = lines.where("file_id is not null and dataset_id is not null and entity is not null and exported_at is not null and raw_json is not null")
     key = [F.col("file_id").cast("long").alias("file_id"), F.col("dataset_id").cast("string").alias("dataset_id"), F.col("entity").cast("string").alias("entity"), F.col("exported_at").cast("timestamp_ntz").alias("exported_at")]
-    each = named.select(*key, "raw_json").mapInArrow(_fields(layout), "file_id bigint, dataset_id string, entity string, exported_at timestamp_ntz, path string, kind int")
-    paths = each.groupBy("file_id", "dataset_id", "entity", "exported_at", "path").agg(F.bit_or("kind").alias("kind"))
-    whole = paths.groupBy("file_id").agg(F.min("dataset_id").alias("dataset_id"), F.min("entity").alias("entity"), F.min("exported_at").alias("exported_at"), F.collect_list(F.struct("path", "kind")).alias("f"))
-    # a path comes once, unless the lines of a file name several data sets or times
-    mask = lambda p: F.aggregate(F.filter("f", lambda x: x["path"] == p), F.lit(0), lambda m, x: m.bitwiseOR(x["kind"]))
-    merged = F.when(F.size("f") == F.size(F.array_distinct(_paths("f"))), F.col("f")).otherwise(F.transform(F.array_distinct(_paths("f")), lambda p: F.struct(p.alias("path"), mask(p).alias("kind"))))
-    return whole.select("file_id", "dataset_id", "entity", "exported_at", F.array_sort(merged).alias("fields"))
+    each = named.select(*key, "raw_json").mapInArrow(_fields(layout), "file_id bigint, dataset_id string, entity string, exported_at timestamp_ntz, fields array<struct<path:string,kind:int>>")
+    # the batches of a large file mostly have the same fields, so what is gathered per file is short
+    whole = each.distinct().groupBy("file_id").agg(F.min("dataset_id").alias("dataset_id"), F.min("entity").alias("entity"), F.min("exported_at").alias("exported_at"), F.collect_list("fields").alias("lists"))
+    every = F.flatten("lists")
+    mask = lambda p: F.aggregate(F.filter(every, lambda x: x["path"] == p), F.lit(0), lambda m, x: m.bitwiseOR(x["kind"]))
+    merged = F.array_sort(F.transform(F.array_distinct(F.transform(every, lambda f: f["path"])), lambda p: F.struct(p.alias("path"), mask(p).alias("kind"))))
+    return whole.select("file_id", "dataset_id", "entity", "exported_at", F.when(F.size("lists") == 1, F.get("lists", F.lit(0))).otherwise(merged).alias("fields"))
 
 
 def _week(c: str) -> Column:
@@ -387,15 +398,23 @@ def schema_history(lines: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
 
 
 def retyped(history: DataFrame) -> DataFrame:
-    """(file_id, path): fields whose type differs from the last one that the field had, under any name."""
+    """(file_id, path): fields whose type differs from the last one that the field had, under any name.
+
+    The file before tells that type in most cases; only where the field had no value there are its files scanned.
+    """
     each = history.select("file_id", "dataset_id", "entity", "exported_at", "prev_fields", "steps", F.explode("fields").alias("f")).select("*", F.col("f.path").alias("path"), F.nullif("f.kind", F.lit(0)).alias("kind"))
     start = F.get(F.filter("steps", lambda s: s["new"] == F.col("path")), F.lit(0))
+    in_last = lambda name: F.get(F.filter("prev_fields", lambda p: p["path"] == name), F.lit(0))["kind"]
     # a renamed field had a value that wasn't null under its old name in the file before, so its type there is known; an added one starts afresh (-1)
-    old = F.when(start["op"] == "added", -1).when(start["op"] == "renamed", F.get(F.filter("prev_fields", lambda p: p["path"] == start["old"]), F.lit(0))["kind"])
-    rows = each.select("file_id", "dataset_id", "entity", "exported_at", "path", "kind", old.alias("old")).withColumn("known", F.coalesce("kind", "old"))
-    filled = blocked_last(rows, ["dataset_id", "entity", "path"], ["exported_at", "file_id"], "known", "last", _week("exported_at"), inclusive=False)
-    before = F.coalesce("old", "last")
-    return filled.where(F.col("kind").isNotNull() & (before > 0) & (before != F.col("kind"))).select("file_id", "path")
+    old = F.when(start["op"] == "added", -1).when(start["op"] == "renamed", in_last(start["old"]))
+    rows = each.select("file_id", "dataset_id", "entity", "exported_at", "path", "kind", old.alias("old"), in_last(F.col("path")).alias("before"))
+    known = F.coalesce("old", F.nullif("before", F.lit(0)))
+    plain = rows.where(F.col("kind").isNotNull() & (known > 0) & (known != F.col("kind"))).select("file_id", "path")
+    unsure = F.col("kind").isNotNull() & F.col("old").isNull() & (F.col("before") == 0)
+    key = ["dataset_id", "entity", "path"]
+    scanned = rows.join(rows.where(unsure).select(*key).distinct(), key, "left_semi").withColumn("known", F.coalesce("kind", "old"))
+    filled = blocked_last(scanned, key, ["exported_at", "file_id"], "known", "last", _week("exported_at"), inclusive=False)
+    return plain.unionByName(filled.where(unsure & (F.col("last") > 0) & (F.col("last") != F.col("kind"))).select("file_id", "path"))
 
 
 def schema_changes(lines: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
