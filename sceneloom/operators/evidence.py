@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from . import selection
 
-# Lengths of texts, frames around an anchor, confidence without a frame, factor of variants.
-LONG, SHORT, WINDOW, NO_FRAME, VARIANT = 2000, 500, 45, 0.2, 0.9
+# Lengths of texts, frames around an anchor, confidence without a frame.
+LONG, SHORT, WINDOW, NO_FRAME = 2000, 500, 45, 0.2
 
 
 def joined(texts: Column, most: int) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 
@@ -178,6 +179,6 @@ def score_with(model, column: str, out: str = "model_score"):
                 scores = model([t or "" for t in b.column(names.index(column)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, out])
 
-        return df.mapInArrow(run, df.schema.add(out, "double"))
+        return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
     return apply

@@ -33,10 +33,24 @@ def read_last(spark: SparkSession, path: str, schema: str, key: str) -> DataFram
     return rows.select("*", at.alias("__at")).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__at")
 
 
+def _small_text(spark: SparkSession, path: str) -> str | None:
+    """A file that readers of tables pass over, as its name begins with an underscore; None if it isn't there."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(context.hadoopConfiguration())
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_pack(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The manifests of a stage pack, if its marker says that it is complete."""
-    marker = spark.read.option("wholetext", "true").text(f"{path}/_SUCCESS.json").first()
-    if marker is None or json.loads(marker[0]).get("status") != "success":
+    marker = _small_text(spark, f"{path}/_SUCCESS.json")
+    if marker is None or json.loads(marker).get("status") != "success":
         raise ValueError(f"the pack at {path} isn't complete")
     return spark.read.schema(schema).json(f"{path}/manifests/*.jsonl")
 

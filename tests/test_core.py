@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sceneloom import runtime
 from sceneloom.functions import text as T
 from sceneloom.functions import vectors as V
-from sceneloom.operators import ingest, joins, media, metrics, quality, retrieval, scoring, selection, sequences, tasks
+from sceneloom.operators import fields, ingest, joins, media, metrics, quality, retrieval, scoring, selection, sequences, tasks
 from sceneloom.plans import engine, planner
 from sceneloom.sources import files
 from sceneloom.streaming import windows
@@ -240,10 +240,21 @@ def test_objects_in_texts(spark):
     assert {t: one(spark, T.json_object(F.lit(t))) for t in texts} == texts
 
 
+def test_coverage_of_terms(spark):
+    terms = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    asked = one(spark, fields.query_terms(F.lit("Những con thuyền trên Sông 7 và biển biển")))
+    assert asked == ["con", "thuyen", "song", "7", "bien"] and one(spark, fields.query_terms(F.lit(None).cast("string"))) == []
+    passes = lambda q, e, every=False: one(spark, fields.gate(terms(*q), terms(*e), every))
+    assert passes(["a", "b", "c"], ["a", "c"]) and not passes(["a", "b", "c"], ["a"]) and passes(["a"], ["a"]) and not passes([], ["a"])
+    assert not passes(["a", "b", "c"], ["a", "b"], True) and passes(["a", "b"], ["b", "a", "z"], True)
+
+
 def test_packs_maps_and_ledgers(spark, tmp_path):
     pack = tmp_path / "pack"
     (pack / "manifests").mkdir(parents=True)
     (pack / "manifests" / "a.jsonl").write_text('{"id": "a"}\n')
+    with pytest.raises(ValueError):
+        files.read_pack(spark, str(pack), "id string")
     (pack / "_SUCCESS.json").write_text('{"status": "running"}')
     with pytest.raises(ValueError):
         files.read_pack(spark, str(pack), "id string")
