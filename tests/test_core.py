@@ -305,3 +305,57 @@ def test_every_query_with_sql_is_registered():
     from sceneloom.queries import registry
 
     assert "fuse_rrf" in registry.queries() and callable(registry.flagship)
+
+
+# --- the best lists of very many queries (pruned.best) ---
+
+
+def test_best_lists_equal_the_join_of_postings(spark, monkeypatch):
+    """Blocks, chunks, repeated documents and queries, and more ties at the border than are kept: as the join gives them."""
+    from sceneloom.operators import pruned
+
+    for name, value in (("STEP", 64), ("QUERIES", 8), ("MOST_ASKED", 150), ("PART", 4), ("SHARED", 2), ("OFTEN", 0.05)):
+        monkeypatch.setattr(pruned, name, value)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: [words[int(x)] for x in np.minimum(rng.geometric(0.08, n) - 1, 59)]
+    docs = [(f"d{i:04}", text(int(rng.integers(0, 12)))) for i in range(600)] + [(f"c{i:03}", ["w1", "w2"]) for i in range(90)]
+    queries = [(f"q{i:03}", text(int(rng.integers(0, 8))) + ["unknown"] * (i % 2)) for i in range(50)] + [(f"r{i}", ["w1", "w1", "w2"]) for i in range(5)]
+    d = spark.createDataFrame(docs, "doc_id string, w array<string>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id string, w array<string>")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    got = rows(retrieval.bm25_top(d, "doc_id", F.col("w"), q, F.col("w"), 7))
+    assert got == rows(retrieval.top_k(retrieval.bm25(d, "doc_id", F.col("w"), q, F.col("w")), 7))
+    # 90 equal documents: the first ids come first
+    assert [x[2] for x in got if x[0] == "r0"][:7] == [x[2] for x in rows(retrieval.top_k(retrieval.bm25(d, "doc_id", F.col("w"), q.where("query_id = 'r0'"), F.col("w")), 7))]
+    tags = d.withColumn("tags", F.array_distinct("w"))
+    asked = q.withColumn("tags", F.array_distinct("w"))
+    assert rows(retrieval.tag_overlap_top(asked, tags, 7)) == rows(retrieval.top_k(retrieval.tag_overlap(asked, tags), 7))
+
+
+def test_lists_over_several_chunks_equal_one(spark):
+    """Memory of a task is that of a chunk and of its lists, whatever the number of documents."""
+    import pyarrow as pa
+
+    from sceneloom.operators import pruned
+
+    rng = np.random.default_rng(5)
+    pairs = [(f"q{i}", f"w{j}", 1.0, 3) for i in range(20) for j in rng.choice(30, 3, replace=False)]
+    table = pa.table({"query_id": [p[0] for p in pairs], "token": [p[1] for p in pairs], "times": [p[2] for p in pairs], "n": [p[3] for p in pairs]})
+    asked = pruned.Asked(table, pa.array([f"w{i}" for i in range(30)]), None)
+    code = rng.integers(0, 30, 4000)
+    ids = pa.array([f"d{x:05}" for x in rng.permutation(1000)])
+    found = []
+    for step in (1000, 170):
+        lists = pruned.Lists(asked, 5, lambda tf, length: (tf > 0).astype(float))
+        for x in range(0, 1000, step):
+            y = min(1000, x + step)
+            lists.chunk(ids[x:y], code[4 * x : 4 * y], np.ones(4 * (y - x)), np.full(y - x, 4), np.full(y - x, 4.0))
+        assert lists.score.shape == (20, 5)
+        found.append([[(float(s), lists.ids[int(i)].as_py()) for s, i in zip(a, b) if s > 0] for a, b in zip(lists.score, lists.doc)])
+    assert found[0] == found[1]
+    held = {i.as_py(): set(code[4 * n : 4 * n + 4].tolist()) for n, i in enumerate(ids)}
+    for q in range(20):
+        mine = {int(w[1:]) for a, w, _, _ in pairs if a == asked.ids[int(asked.member_ptr[q])].as_py()}
+        best = sorted((-np.floor(len(mine & s) / 3 * 1e6 + 0.5), i) for i, s in held.items() if mine & s)[:5]
+        assert [(-s, i) for s, i in best] == found[0][q]
