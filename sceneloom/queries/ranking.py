@@ -231,7 +231,7 @@ def tag_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
     """Scenes by the actions that their captions and the queries name."""
     queries = C.kis(spark, d).select("query_id", T.lexicon_tags(F.col("query"), T.ACTIONS).alias("tags"))
     docs = C.documents(spark, d).select(F.col("scene_id").alias("doc_id"), T.lexicon_tags(F.array_join("captions", " "), T.ACTIONS).alias("tags"))
-    return retrieval.top_k(retrieval.tag_overlap(queries, docs), C.TOP)
+    return retrieval.tag_overlap_top(queries, docs, C.TOP)
 
 
 def _ocr(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
