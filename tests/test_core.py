@@ -359,3 +359,32 @@ def test_lists_over_several_chunks_equal_one(spark):
         mine = {int(w[1:]) for a, w, _, _ in pairs if a == asked.ids[int(asked.member_ptr[q])].as_py()}
         best = sorted((-np.floor(len(mine & s) / 3 * 1e6 + 0.5), i) for i, s in held.items() if mine & s)[:5]
         assert [(-s, i) for s, i in best] == found[0][q]
+
+
+def test_weighted_fields_equal_brute_force_without_pairs(spark, monkeypatch):
+    """Weights of fields, the gate on terms and its ties, without the join of postings and queries."""
+    monkeypatch.setattr(fields.retrieval, "top_k", lambda *_, **__: pytest.fail("pairs of all postings"))
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join(f"word{int(x)}" for x in rng.integers(0, 12, n))
+    docs = [(f"d{i:03}", say(int(rng.integers(0, 6))), say(int(rng.integers(0, 4)))) for i in range(200)]
+    queries = [(f"q{i}", sorted(set(say(int(rng.integers(1, 9))).split()))) for i in range(30)]
+    d = spark.createDataFrame(docs, "doc_id string, a string, b string")
+    q = spark.createDataFrame(queries, "query_id string, terms array<string>")
+    held = {i: [(w, 2.0) for w in a.split()] + [(w, 1.2) for w in b.split()] for i, a, b in docs}
+    length = {i: sum(x for _, x in ws) for i, ws in held.items()}
+    mean = sum(length.values()) / len(docs)
+    df = {f"word{n}": sum(any(w == f"word{n}" for w, _ in ws) for ws in held.values()) for n in range(12)}
+    for match_all in (False, True):
+        expected = []
+        for qid, terms in queries:
+            out = []
+            for i, ws in held.items():
+                tf = {t: sum(x for w, x in ws if w == t) for t in terms}
+                met = [t for t in terms if tf[t]]
+                if len(met) < min(2, len(terms)) or len(met) / len(terms) + 1e-12 < (1.0 if match_all else 0.34):
+                    continue
+                score = sum(np.log1p((200 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * length[i] / mean)) for t in met)
+                out.append((-round(score, 6), i, round(len(met) / len(terms), 6)))
+            expected += [(qid, n, i, -s, c) for n, (s, i, c) in enumerate(sorted(out)[:6], 1)]
+        got = fields.field_branch(d, {"a": 2.0, "b": 1.2}, q, 6, match_all).collect()
+        assert sorted((r.query_id, r["rank"], r.doc_id, r.score, r.coverage) for r in got) == sorted(expected)
