@@ -36,15 +36,18 @@ def answer_matches(predicted: Column, accepted: Column) -> Column:
     return (F.coalesce(said, F.lit("")) != "") & F.exists(accepted, lambda a: F.contains(said, T.normalize(a)))
 
 
-def answer_scores(results: DataFrame, gold: DataFrame) -> DataFrame:
+def answer_scores(results: DataFrame, gold: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """(query_id, evidence_rank, answered, joint) of results (query_id, video_id, frame_idx, answer, rank) against gold (query_id, video_id, low, high, accepted).
 
     answered: some result in the right place has a right answer; joint: and the first result is in the right place.
+    Results with ``doc_id`` instead of an answer take it from ``answers`` (doc_id, answer); only those in the right place carry texts.
     """
-    met = gold.join(results.withColumnRenamed("video_id", "v"), "query_id", "left")
-    place = (F.col("v") == F.col("video_id")) & F.col("frame_idx").between(F.col("low"), F.col("high"))
-    right = place & answer_matches(F.col("answer"), F.col("accepted"))
-    out = met.groupBy("query_id").agg(F.min(F.when(place, F.col("rank"))).alias("evidence_rank"), F.coalesce(F.max(right), F.lit(False)).alias("answered"))
+    met = gold.join(results.withColumnRenamed("video_id", "v"), "query_id").where((F.col("v") == F.col("video_id")) & F.col("frame_idx").between(F.col("low"), F.col("high")))
+    if answers is not None:
+        met = met.join(answers, "doc_id", "left")
+    right = answer_matches(F.col("answer"), F.col("accepted"))
+    found = met.groupBy("query_id").agg(F.min("rank").alias("evidence_rank"), F.max(right).alias("answered"))
+    out = gold.select("query_id").distinct().join(found, "query_id", "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
     return out.select("query_id", "evidence_rank", "answered", (F.col("answered") & (F.coalesce("evidence_rank", F.lit(0)) == 1)).alias("joint"))
 
 

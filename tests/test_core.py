@@ -388,3 +388,15 @@ def test_weighted_fields_equal_brute_force_without_pairs(spark, monkeypatch):
             expected += [(qid, n, i, -s, c) for n, (s, i, c) in enumerate(sorted(out)[:6], 1)]
         got = fields.field_branch(d, {"a": 2.0, "b": 1.2}, q, 6, match_all).collect()
         assert sorted((r.query_id, r["rank"], r.doc_id, r.score, r.coverage) for r in got) == sorted(expected)
+
+
+def test_answers_are_joined_only_where_the_place_is_right(spark):
+    """Texts of results in a wrong place aren't read; queries without results stay."""
+    from sceneloom.operators import evaluation
+
+    results = spark.createDataFrame([("a", "d1", "v", 5, 1), ("a", "d2", "v", 50, 2), ("b", "d1", "w", 5, 1)], "query_id string, doc_id string, video_id string, frame_idx int, rank int")
+    gold = spark.createDataFrame([(x, "v", 0, 10, ["Thuyền"]) for x in "abc"], "query_id string, video_id string, low int, high int, accepted array<string>")
+    answers = spark.createDataFrame([("d1", "một thuyền"), ("d2", "thuyền")], "doc_id string, answer string")
+    got = {r.query_id: tuple(r)[1:] for r in evaluation.answer_scores(results, gold, answers).collect()}
+    assert got == {"a": (1, True, True), "b": (None, False, False), "c": (None, False, False)}
+    assert got == {r.query_id: tuple(r)[1:] for r in evaluation.answer_scores(results.join(answers, "doc_id"), gold).collect()}
