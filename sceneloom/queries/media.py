@@ -296,9 +296,10 @@ def avs_grades(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def avs_selection(spark: SparkSession, d: str) -> DataFrame:
     """Diverse scenes for each query, from its first hundred candidates."""
-    lists = C.lexical(spark, d, "caption", 100).join(_scene_texts(spark, d), "doc_id")
-    best = lists.groupBy("query_id").agg(F.max("score").alias("best"))
-    graded = lists.join(best, "query_id").select("query_id", "doc_id", "video_id", F.round(tasks.relevance(F.lit(2), F.col("score"), F.col("best")), 6).alias("relevance"), F.array_distinct(F.filter(T.words_of(F.col("t")), lambda w: F.length(w) >= 3)).alias("words"))
+    lists = C.lexical(spark, d, "caption", 100).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
+    # words are taken once per scene, before candidates meet them
+    words = _scene_texts(spark, d).select("doc_id", "video_id", F.array_distinct(F.filter(T.words_of(F.col("t")), lambda w: F.length(w) >= 3)).alias("words"))
+    graded = lists.join(words, "doc_id").select("query_id", "doc_id", "video_id", F.round(tasks.relevance(F.lit(2), F.col("score"), F.col("best")), 6).alias("relevance"), "words")
     return tasks.select_diverse(graded, 20)
 
 
