@@ -103,13 +103,16 @@ class MomentEngine:
         )
         banned = plans.select("query_id", F.explode("negatives").alias("p")).select("query_id", F.array_distinct(T.words_of(F.col("p"))).alias("words"))
         kept = scoring.drop_negated(fused, banned, texts)
-        met = kept.join(self.documents.withColumnRenamed("scene_id", "doc_id"), "doc_id").join(plans.select("query_id", "normalized", "phrases"), "query_id")
+        # candidates meet what rules and deduplication read; frames meet only the hits
+        read = self.documents.select(F.col("scene_id").alias("doc_id"), "video_id", "event_id", "ocr_texts", "object_labels", "keywords")
+        met = kept.join(read, "doc_id").join(plans.select("query_id", "normalized", "phrases"), "query_id")
         if options.rules:
             extra = scoring.rule_adjustment(F.transform("phrases", T.normalize), T.normalize(F.col("normalized")), T.normalize(F.array_join("ocr_texts", " ")), F.col("object_labels"), F.col("keywords"))
             met = retrieval.top_k(met.withColumn("score", F.round(F.col("score") + extra, 9)).drop("rank"), None)
         scope, per_video, per_event = selection.TASK_POLICY[options.task]
         scope = options.scope or scope
         hits = selection.deduplicate(met.withColumn("scene_id", F.col("doc_id")), scope, per_video, per_event).where(F.col("rank") <= options.top_k)
+        hits = hits.select("query_id", "scene_id", "video_id", "event_id", "normalized", "score", "branches", "rank").join(self.documents.select("scene_id", "start_frame", "end_frame_exclusive", "keyframes"), "scene_id")
         # the frame with the most words of the query, else the one nearest to the middle of the scene
         words = T.tokens(F.col("normalized"))
         middle = (F.col("start_frame") + F.col("end_frame_exclusive") - 1) / 2
